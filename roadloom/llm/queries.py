@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.llm import line_dedup as lines
 from roadloom.llm.bpe_codec import encode_documents
 from roadloom.llm.compression_bands import compression_bands
 from roadloom.llm.gam_quality import quality_scores
 from roadloom.llm.language_id import language_id
 from roadloom.llm.samples import remainder
 from roadloom.llm.token_counts import token_counts
+from roadloom.llm.toxicity_gru import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
@@ -30,6 +37,12 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    out = toxicity_scores(table(spark, sf_dir, "documents"), labels.select("doc_id", F.col("toxic").alias("label")))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id(docs, docs.where(remainder("doc_id", 3) != 1))
@@ -42,7 +55,7 @@ def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_compression_bands, op5_bpe_codec, op9_language_id, op10_gam_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op9_language_id, op10_gam_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.SQL}
