@@ -98,10 +98,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 #: The digest of the query over ``line_dedup`` in DuckDB's SQL.
 SQL = r"""
 WITH split AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 worded AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS j FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 windowed AS (
   SELECT doc_id, j, CASE WHEN lead(j, 2) OVER w IS NOT NULL THEN line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w END AS win
   FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
@@ -110,10 +110,10 @@ ranked AS (
 gone AS (
   SELECT DISTINCT doc_id, j + d AS j FROM ranked, (VALUES (0), (1), (2)) o(d) WHERE k > 1),
 marked AS (
-  SELECT s.doc_id, s.line, s.at, w.j IS NOT NULL AS worded, g.j IS NOT NULL AS cut
-  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.at = w.at LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.j = g.j)
+  SELECT s.doc_id, s.line, s.pos, w.j IS NOT NULL AS worded, g.j IS NOT NULL AS cut
+  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.pos = w.pos LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.j = g.j)
 SELECT d.doc_id, coalesce(m.n_lines, 0)::BIGINT AS n_lines, coalesce(m.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(m.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN (
-  SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n_removed, string_agg(line, chr(10) ORDER BY at) FILTER (NOT cut) AS kept
+  SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut) AS kept
   FROM marked GROUP BY doc_id) m ON d.doc_id = m.doc_id
 """

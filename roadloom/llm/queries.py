@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import line_dedup as lines
+from roadloom.llm import substring_dedup as substrings
 from roadloom.llm.bpe_codec import encode_documents
 from roadloom.llm.compression_bands import compression_bands
 from roadloom.llm.gam_quality import quality_scores
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -55,7 +61,7 @@ def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op9_language_id, op10_gam_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op9_language_id, op10_gam_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.SQL, "op3_line_dedup": lines.SQL}
