@@ -1,0 +1,36 @@
+"""Connected components of a table of links, by alternating large and small stars, in saved rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadloom.llm.shared import saved
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root (the smallest node reachable) of every node of links (a, b); nodes are longs.
+
+    Each half round joins every node to the smallest node among itself and its neighbours: the large star moves only
+    the larger neighbours, the small star the rest. Rows never exceed the links, no neighbourhood is collected, and
+    the rounds (logarithmic in practice) end when nothing changes.
+    """
+    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(most_rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        # Large star: u's larger neighbours go to u's smallest.
+        large = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Small star: u and its smaller neighbours go to the smallest.
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        joined = large.join(low, large.a == low.k)
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        small = saved(small)
+        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
+        edges = small
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

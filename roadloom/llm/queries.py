@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import line_dedup as lines
+from roadloom.llm import parity_join as parity
 from roadloom.llm import substring_dedup as substrings
 from roadloom.llm.bpe_codec import encode_documents
 from roadloom.llm.compression_bands import compression_bands
@@ -49,6 +50,10 @@ def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.parity_join(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id(docs, docs.where(remainder("doc_id", 3) != 1))
@@ -61,7 +66,7 @@ def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op9_language_id, op10_gam_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op7_parity_join, op9_language_id, op10_gam_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.SQL, "op3_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.SQL, "op3_line_dedup": lines.SQL, "op7_parity_join": parity.SQL}
