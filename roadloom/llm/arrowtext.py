@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BLOCK = 1 << 20
 #: Documents in a block at most.
@@ -90,6 +91,14 @@ class Block:
     def __len__(self) -> int:
         return len(self.offs) - 1
 
+    def lowered(self) -> Block:
+        """The block in lower case, for the letters of ASCII and Latin-1 (whose UTF-8 lengths don't change)."""
+        data = _LOWER[self.data]
+        wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+        wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+        data[wide] += 32
+        return Block(data, self.offs, self.batch)
+
     def column(self, name: str) -> pa.Array:
         return self.batch.column(self.batch.schema.get_field_index(name))
 
@@ -176,7 +185,7 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def map_blocks(df: DataFrame, columns: list[str], fn: Callable[[Block], pa.RecordBatch | dict | None], schema: str, setup: Callable[[], object] | None = None, text: str = "text") -> DataFrame:
+def map_blocks(df: DataFrame, columns: list[str], fn: Callable[[Block], pa.RecordBatch | dict | None], schema: str | StructType, setup: Callable[[], object] | None = None, text: str = "text") -> DataFrame:
     """Applies fn to the blocks of the named columns; setup() runs once a task and is passed to fn."""
     ship(df.sparkSession)
 
@@ -184,7 +193,7 @@ def map_blocks(df: DataFrame, columns: list[str], fn: Callable[[Block], pa.Recor
         state = setup() if setup else None
         for block in blocks(batches, text):
             out = fn(block, state) if setup else fn(block)
-            if out:
+            if out is not None:
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     return df.select(*columns).mapInArrow(run, schema)

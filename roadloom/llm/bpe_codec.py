@@ -176,7 +176,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         out = {"doc_id": block.column("doc_id"), "n_tokens": pa.array([n for n, _, _ in coded], pa.int64()), "ids_sha256": [sha(s.encode()) for _, s, _ in coded], "decoded_sha256": [sha(b) for _, _, b in coded]}
         if with_ids:
-            out["ids"] = pa.array([[*map(int, s.split(","))] if n else [] for n, s, _ in coded], pa.list_(pa.int32()))
+            offsets = np.concatenate([[0], np.cumsum([n for n, _, _ in coded])]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(offsets, np.fromstring(",".join(s for n, s, _ in coded if n), np.int32, sep=","))
         return out
 
     named = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")

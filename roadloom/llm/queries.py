@@ -13,6 +13,7 @@ from roadloom.llm.bpe_codec import encode_documents
 from roadloom.llm.compression_bands import compression_bands
 from roadloom.llm.gam_quality import quality_scores
 from roadloom.llm.language_id import language_id
+from roadloom.llm.latent_decontamination import contaminated
 from roadloom.llm.samples import remainder
 from roadloom.llm.token_counts import token_counts
 from roadloom.llm.toxicity_gru import toxicity_scores
@@ -54,6 +55,10 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.parity_join(table(spark, sf_dir, "documents"))
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id(docs, docs.where(remainder("doc_id", 3) != 1))
@@ -66,7 +71,7 @@ def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op7_parity_join, op9_language_id, op10_gam_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_compression_bands, op5_bpe_codec, op6_toxicity_gru, op7_parity_join, op8_latent_decontamination, op9_language_id, op10_gam_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.SQL, "op3_line_dedup": lines.SQL, "op7_parity_join": parity.SQL}
