@@ -122,8 +122,8 @@ def part_keys(values: np.ndarray, ptr: np.ndarray, docs: np.ndarray) -> tuple[np
 
 
 def sketch_bits(band: int) -> int:
-    """Bits of the sketch of sets in a band: a power of two, about eight to sixteen times the largest size."""
-    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 8 - 1).bit_length()))
+    """Bits of the sketch of sets in a band: a power of two, two to four times the largest size."""
+    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 2 - 1).bit_length()))
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -322,9 +322,28 @@ def sketch_pairs(members: DataFrame, leaders: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    ends = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    both = pairs.join(ends("a"), "a").join(ends("b"), "b").where(f"{MOST} * least(n_a, n_b) >= {LEAST} * greatest(n_a, n_b)")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                size = 8 * min(len(x), len(y))
+                far = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
+                keep.append(far * (MOST + LEAST) <= (MOST - LEAST) * (n + m))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose sets link. docs: doc_id, text; nodes: node, rep (a document with that set)."""
     pairs = saved(pairs)
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     need = saved(nodes.join(ends, "node").select("node", F.col("rep").alias("_rep")))
     spots = need.select(F.pmod(F.xxhash64("_rep"), F.lit(BLOOM_BITS)).alias("spot")).distinct()
@@ -382,11 +401,12 @@ def parity_join(docs: DataFrame) -> DataFrame:
     groups = saved(group_rows(packed_keys(named, buckets)))
     members = groups.where("b is null").select("grp", "blk", F.col("a").alias("node")).join(nodes, "node")
     lead = members.where(F.pmod("grp", F.lit(LEAD_EVERY)) == 0).withColumn("comp", F.monotonically_increasing_id())
-    first = groups.where("b is not null").select("a", "b").union(sketch_pairs(lead, True)).distinct()
+    small = near_pairs(groups.where("b is not null").select("a", "b").distinct(), nodes)
+    first = saved(small.union(sketch_pairs(lead, True)).distinct())
     links = verified(first, named, nodes)
     roots = saved(components(links))
     labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    more = sketch_pairs(labelled, False)
+    more = sketch_pairs(labelled, False).join(first, ["a", "b"], "left_anti")
     links = links.union(verified(more, named, nodes))
     roots = saved(components(links))
     classes = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
