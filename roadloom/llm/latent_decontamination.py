@@ -155,19 +155,22 @@ def randomised_svd(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray,
     return (q @ vector[:, own[value[own] > 1e-9]]).astype(np.float32)
 
 
-def common_subsequence(item: list[bytes], text: list[bytes]) -> int:
-    """Length of the longest common subsequence of words, bit-parallel over the item."""
-    masks: dict[bytes, int] = {}
+def positions(item: list[int]) -> dict[int, int]:
+    """For each word of an item, the bits of its places."""
+    out: dict[int, int] = {}
     for i, w in enumerate(item):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    v = full
-    for w in text:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_subsequence(size: int, hits: list[int]) -> int:
+    """Length of the longest common subsequence of an item of `size` words and a text, bit-parallel over the item; hits
+    are the places in the item of those words of the text that it has."""
+    full = v = (1 << size) - 1
+    for m in hits:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
 
 
 class Index:
@@ -175,13 +178,14 @@ class Index:
 
     def __init__(self, items: list[int], bodies: list[bytes], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
         self.items, self.vocabulary = items, vocabulary
-        self.words = [b.split(b" ") for b in bodies]
         self.space = space * idf[:, None].astype(np.float32)
         self.useful = idf > 0.5
         row, word, _ = passage_matrix(bodies, vocabulary, idf)
         block = block_of(bodies)
         words = block.words()
         at, number = vocabulary.find(hash_words(block, words))
+        own = [number[a:b].tolist() for a, b in zip(*(np.searchsorted(at, p) for p in (words.ptr[:-1], words.ptr[1:])), strict=True)]
+        self.size, self.places = [len(x) for x in own], [positions(x) for x in own]
         latent = np.zeros((len(bodies), space.shape[1]), np.float32)
         np.add.at(latent, np.searchsorted(words.ptr, at, "right") - 1, self.space[number])
         self.norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
@@ -189,19 +193,13 @@ class Index:
         order = {}
         for r, w in zip(row.tolist(), word.tolist(), strict=True):
             order.setdefault(r, []).append((-idf[w], w))
-        rare = {r: {w for _, w in sorted(v)[:ANSWER_WORDS]} for r, v in order.items()}
-        names = {h: i for i, h in enumerate(vocabulary.hashes.tolist())}
-        self.answer = []
-        for i, own in enumerate(self.words):
-            hashes = hash_words(b := block_of(own), b.words()).tolist() if own else []
-            self.answer.append({w for w, h in zip(own, hashes, strict=True) if names.get(h) in rare.get(i, ())})
-
-    def candidates(self, block: Block, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first word, passage, cosine) of near windows."""
+        self.answer = [{w for _, w in sorted(order.get(i, []))[:ANSWER_WORDS]} for i in range(len(bodies))]
+
+    def candidates(self, words, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, passage, cosine) of near windows; at, number: the known words."""
         n = np.diff(words.ptr)
         chunks = -(-n // STRIDE)
         base = np.cumsum(chunks) - chunks
-        at, number = self.vocabulary.find(hash_words(block, words))
         own = self.useful[number]
         at, number = at[own], number[own]
         if not len(at):
@@ -229,17 +227,20 @@ class Index:
     def confirmed(self, block: Block) -> list[tuple[int, int, float, float, float]]:
         """(document, passage, cosine, share in common order, share of answer words), the best window of each pair."""
         block = block.lowered()
-        words = bare_words(block)
-        raw, best = None, {}
-        for d, s, p, cosine in zip(*(x.tolist() for x in self.candidates(block, words)), strict=True):
-            raw = raw or block.data.tobytes()
-            a, b = max(words.ptr[d], words.ptr[d] + s - STRIDE), min(words.ptr[d + 1], words.ptr[d] + s + PASSAGE + STRIDE)
-            text = [raw[x:y] for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
-            item = self.words[p]
-            share = common_subsequence(item, text) / len(item)
+        words, best = bare_words(block), {}
+        known, number = self.vocabulary.find(hash_words(block, words))
+        doc, start, passage, cosines = self.candidates(words, known, number)
+        low = np.searchsorted(known, np.maximum(words.ptr[doc], words.ptr[doc] + start - STRIDE))
+        high = np.searchsorted(known, np.minimum(words.ptr[doc + 1], words.ptr[doc] + start + PASSAGE + STRIDE))
+        number = number.tolist()
+        for d, a, b, p, cosine in zip(*(x.tolist() for x in (doc, low, high, passage, cosines)), strict=True):
+            hits = [m for m in map(self.places[p].get, number[a:b]) if m]
+            if len(hits) < PARAPHRASE * self.size[p]:  # no order can make up for missing words
+                continue
+            share = common_subsequence(self.size[p], hits) / self.size[p]
             if share < PARAPHRASE:
                 continue
-            answer = len(self.answer[p].intersection(text)) / max(1, len(self.answer[p]))
+            answer = len(self.answer[p].intersection(number[a:b])) / max(1, len(self.answer[p]))
             if share >= COPY or answer >= ANSWER:
                 best[d, p] = max(best.get((d, p), (0.0, 0.0, 0.0)), (share, answer, cosine))
         return [(d, p, c, share, answer) for (d, p), (share, answer, c) in best.items()]
