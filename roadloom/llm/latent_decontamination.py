@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.arrowtext import Block, blocks, map_blocks, ship
+from roadloom.llm.arrowtext import Block, blocks, map_blocks
+from roadloom.session import ship
 from roadloom.llm.toxicity_gru import bare_words, block_of
 
 PASSAGE, STRIDE, LEAST_WORDS = 64, 32, 5

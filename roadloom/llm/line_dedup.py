@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from roadloom.llm.arrowtext import Block, map_blocks, windows
 from roadloom.llm.shared import saved
@@ -54,19 +55,22 @@ def line_windows(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """All columns of docs (doc_id, text, ...) with text deduplicated, and n_lines, n_removed (lines with a word).
+    """All columns of docs (doc_id, text, ...) with text deduplicated, and n_lines, n_removed (lines with a word), which
+    replace columns of these names.
 
     Null and empty texts, and rows with a null doc_id, come back unchanged with nothing removed (n_lines counted);
     they are no source of repeats either where the id is null. Rows that repeat a doc_id count as one document. An
     empty table gives no rows. Documents of fewer than three lines have no window.
     """
-    own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [f for f in docs.schema if f.name in names]
+    # All columns travel as one struct, so their names can't clash with ours.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
     found = line_windows(own)
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     later = found.join(saved(first), ["a", "b"]).where(F.struct("doc_id", "line") > F.col("first"))
     gone = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnRenamed("doc_id", "_id")
     joined = own.join(gone, own.doc_id == gone["_id"], "left").drop("_id")
-    names, schema = own.columns, own.schema
 
     def rows(block: Block):
         start, end, of = worded_lines(block)
@@ -89,10 +93,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         texts = pa.array(texts, pa.string())
         null = block.column("text").is_null()
         texts = pa.compute.if_else(null, pa.scalar(None, pa.string()), texts)
-        return {c: texts if c == "text" else block.column(c) for c in names} | {"n_lines": np.diff(first), "n_removed": removed}
+        row = block.column("_row")
+        return {c: texts if c == "text" else row.field(c) for c in names} | {"n_lines": np.diff(first), "n_removed": removed}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_blocks(joined, [f"`{c}`" for c in joined.columns], rows, f"{fields}, n_lines long, n_removed long")
+    schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return map_blocks(joined, ["doc_id", "text", "_row", "_gone"], rows, schema)
 
 
 #: The digest of the query over ``line_dedup`` in DuckDB's SQL.

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.arrowtext import Block, blocks, map_blocks, mix, ship, windows
-from roadloom.llm.components import components
+from roadloom.llm.arrowtext import Block, blocks, map_blocks, mix, windows
+from roadloom.session import ship
+from roadloom.plans.components import components
 from roadloom.llm.shared import saved
 
 SHINGLE, LEAST, MOST = 5, 75, 100  # links from LEAST / MOST
@@ -283,14 +284,12 @@ def sketch_pairs(members: DataFrame, leaders: bool) -> DataFrame:
     """Candidate pairs (a, b) of members (grp, blk, node, n, sketch, comp). leaders: only pairs with each group's
     leader; else all near pairs of different components."""
 
-    def block_pairs(blk: int, rows: list[tuple]) -> np.ndarray:
+    def block_pairs(grp: int, rows: list[tuple]) -> np.ndarray:
         rows = list({r[0]: r for r in rows}.values())
-        if leaders:
-            x, y = [min(rows, key=lambda r: r[0])], rows
-        elif blk // 1_000_000 == blk % 1_000_000:
-            x = y = rows
-        else:  # two blocks: near() on all would repeat pairs inside each; the component test and distinct() cope
-            x = y = rows
+        x = y = rows
+        if leaders:  # another one in each group, whatever the nodes are
+            order = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64) ^ np.array([grp], np.int64).view(np.uint64))
+            x = [rows[int(order.argmin())]]
         at = near(x, y)
         node_x, node_y = np.array([r[0] for r in x]), np.array([r[0] for r in y])
         got = np.column_stack([node_x[at[:, 0]], node_y[at[:, 1]]]) if len(at) else np.zeros((0, 2), np.int64)
@@ -301,7 +300,7 @@ def sketch_pairs(members: DataFrame, leaders: bool) -> DataFrame:
         rows, at, seen = [], None, set()
 
         def out() -> pa.RecordBatch | None:
-            fresh = [p for p in map(tuple, block_pairs(at[1], rows).tolist()) if p not in seen]
+            fresh = [p for p in map(tuple, block_pairs(at[0], rows).tolist()) if p not in seen]
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.update(fresh)

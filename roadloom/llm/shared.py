@@ -1,21 +1,5 @@
-"""What operators need from the session: the checkpoint folder and safe cuts of a plan."""
+"""Session helpers of the library, under one name for the operators."""
 
-from __future__ import annotations
+from roadloom.session import checkpoint_dir, saved, ship
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadloom-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and held in the shared folder, where they outlive executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "saved", "ship"]

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.arrowtext import Block, Words, map_blocks, mix, ship, windows
+from roadloom.llm.arrowtext import Block, Words, map_blocks, mix, windows
+from roadloom.session import ship
 
 WINDOW, ANCHOR = 20, 8
 #: One document in HOT_EVERY is sampled for hot anchors; an anchor is hot from HOT_LEAST occurrences in the sample, and
