@@ -291,7 +291,7 @@ def assemble(spark, sf_dir):
     a, b = (part.selectExpr(f"node AS {k}", f"cell AS p_{k}") for k in ("src", "dst"))
     inner = e.join(a, "src").join(b, "dst").where("p_src = p_dst").select("src", "dst")
     pieces = frontier.weak_components(inner, part.select("node")).withColumnRenamed("component", "cell")
-    return hierarchy.assembled(e, pieces, [20, 50, 150]).select("node", F.col("level").cast("long").alias("level"), "cell")
+    return hierarchy.assembled(e, pieces, [40, 80, 150]).select("node", F.col("level").cast("long").alias("level"), "cell")
 
 
 @query(f"WITH {grid_sql(12)} SELECT src AS node, 0::BIGINT AS component FROM grid GROUP BY src")
