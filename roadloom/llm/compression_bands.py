@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from roadloom.llm.arrowtext import _SEP, Block, map_blocks, mix, windows
+from roadloom.llm.line_dedup import worded_lines
 
 #: (bytes of the document, lowest ratio, highest ratio) at LEVEL, straight lines over the logarithm of the length between.
 BANDS = ((128, 1.00, 1.65), (256, 1.10, 1.76), (512, 1.20, 1.92), (1024, 1.30, 2.08), (2048, 1.45, 2.24), (4096, 1.55, 2.36), (16_384, 1.70, 2.52), (65_536, 1.75, 2.62))
@@ -57,15 +58,7 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     hit[at] = repeats(of[at], windows(keys, 3)[at])[0]
     total = np.concatenate([[0], np.cumsum(covered(hit, 3, len(keys)))])
     out["n_repeat_words"] = np.diff(total[words.ptr])
-    # Lines: cut at line feeds and document bounds; those with a word only.
-    feeds = np.flatnonzero(block.data == 10)
-    start = np.unique(np.concatenate([block.offs[:-1], feeds + 1]))
-    start = start[start < len(block.data)]
-    stop = np.minimum(np.append(start[1:], len(block.data)), len(block.data))
-    stop = stop - ((stop > start) & (block.data[np.maximum(stop, 1) - 1] == 10))
-    full = np.searchsorted(words.start, stop) > np.searchsorted(words.start, start)
-    start, stop = start[full], stop[full]
-    of = np.searchsorted(block.offs, start, "right") - 1
+    start, stop, of = worded_lines(block)
     later = repeats(of, block.hashes(start, stop, seed=1))[1] if len(start) else np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(of[later], minlength=len(block)) if len(start) else np.zeros(len(block), np.int64)
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.arrowtext import Block, blocks, map_blocks
-from roadloom.session import ship
+from roadloom.session import saved, ship
 from roadloom.llm.toxicity_gru import bare_words, block_of
 
 PASSAGE, STRIDE, LEAST_WORDS = 64, 32, 5
@@ -181,7 +181,6 @@ class Index:
         self.items, self.vocabulary = items, vocabulary
         self.space = space * idf[:, None].astype(np.float32)
         self.useful = idf > 0.5
-        row, word, _ = passage_matrix(bodies, vocabulary, idf)
         block = block_of(bodies)
         words = block.words()
         at, number = vocabulary.find(hash_words(block, words))
@@ -191,10 +190,9 @@ class Index:
         np.add.at(latent, np.searchsorted(words.ptr, at, "right") - 1, self.space[number])
         self.norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
         self.latent = latent / self.norm[:, None]
-        order = {}
-        for r, w in zip(row.tolist(), word.tolist(), strict=True):
-            order.setdefault(r, []).append((-idf[w], w))
-        self.answer = [{w for _, w in sorted(order.get(i, []))[:ANSWER_WORDS]} for i in range(len(bodies))]
+        # Rarest words by steps of idf (a word that occurs twice is as rare as one that occurs once), the later first.
+        step = np.floor(idf / 2).tolist()
+        self.answer = [set(sorted({w: i for i, w in enumerate(x)}, key=lambda w, x=x: (-step[w], -len(x) + 1 + x[::-1].index(w)))[:ANSWER_WORDS]) for x in own]
 
     def candidates(self, words, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, passage, cosine) of near windows; at, number: the known words."""
@@ -262,10 +260,10 @@ def fit_index(docs: DataFrame, passages: DataFrame) -> Index | None:
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     """One index for each block of passages."""
-    passages = item_passages(benchmark)
+    passages = saved(item_passages(benchmark))
     parts = -(-passages.count() // (ITEMS // 2))  # hashed parts stay under ITEMS
     for k in range(parts):
-        if (index := fit_index(docs, passages.where(F.pmod(F.xxhash64("body"), F.lit(parts)) == k))) is not None:
+        if (index := fit_index(docs, passages.where(F.pmod(F.xxhash64("body"), F.lit(parts)) == k).coalesce(4))) is not None:
             yield index
 
 

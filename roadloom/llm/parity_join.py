@@ -10,7 +10,8 @@ set for linked sets. By size, sets fall into bands of ratio 4/3, so partners are
   each partner. The rare set with fewer adds keys for its smallest quarter of shingles, by which two such sets meet.
 * Nodes with a common key are candidates. Small groups give their pairs. Of a large group the sketches meet, in blocks:
   first each node with the group's leader, for a share of the groups; then, when those links have been verified and
-  merged, all pairs from different components whose sketches are near enough.
+  merged, all pairs from different components whose sketches are near enough. Nodes in fewer large groups than they
+  must share with a partner are left out: that clears passages which many documents share.
 * Candidates are verified on the shingle sets; components come from the links.
 
 Keys travel as packed arrays by bucket, sketches only where groups are large, shingle sets only for candidates.
@@ -34,6 +35,8 @@ from roadloom.llm.shared import saved
 SHINGLE, LEAST, MOST = 5, 75, 100  # links from LEAST / MOST
 #: Nodes of a group that gives its pairs at once; nodes in a block of a larger group; one group in LEAD_EVERY leads.
 SMALL, CLOSE, LEAD_EVERY = 16, 2048, 8
+#: Groups with the same smallest node hold much the same nodes; they meet in so many tasks, which know what they told.
+LOTS = 16
 #: Keys that a task packs before it hands them on.
 FLUSH = 1 << 21
 #: Bits of the filter for the nodes whose sets are needed: its size is fixed, a crowded filter only passes more.
@@ -92,10 +95,11 @@ def parts_in(band: np.ndarray) -> np.ndarray:
     return (LOWEST[band + 1] - 1) // 2 + 2
 
 
-def part_keys(values: np.ndarray, ptr: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 64-bit key) for both schemes of some documents: that of their own band and of the band below."""
+def part_keys(values: np.ndarray, ptr: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, 64-bit key) for both schemes of some documents: that of their own band and of the band below; and for
+    every document of the block the least number of keys that it shares with any partner."""
     size = np.diff(ptr)
-    out_doc, out_key = [], []
+    out_doc, out_key, need = [], [], np.full(len(size), np.iinfo(np.int64).max)
     for below in (0, 1):
         own = docs[band_of(size[docs]) >= below]
         if not len(own):
@@ -114,17 +118,19 @@ def part_keys(values: np.ndarray, ptr: np.ndarray, docs: np.ndarray) -> tuple[np
         of = np.searchsorted(base, slot, "right") - 1
         out_doc.append(own[of])
         out_key.append(mix(parity + mix((slot - base[of]).astype(np.uint64) * np.uint64(1 << 20) + band[of].astype(np.uint64) * np.uint64(2) + np.uint64(1))))
-        thin = np.flatnonzero(np.bincount(of, minlength=len(own)) <= differing(band))
+        spare = np.bincount(of, minlength=len(own)) - differing(band)
+        need[own] = np.minimum(need[own], np.maximum(spare, 1))
+        thin = np.flatnonzero(spare <= 0)
         for d in own[thin].tolist():  # few filled parts: keys for the smallest quarter of shingles as well
             first = values[ptr[d] : ptr[d] + size[d] - -(-size[d] * LEAST // MOST) + 1]
             out_doc.append(np.full(len(first), d))
             out_key.append(mix(first + np.uint64(1 << 60)))
-    return (np.concatenate(out_doc), np.concatenate(out_key)) if out_doc else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return (np.concatenate(out_doc), np.concatenate(out_key), need) if out_doc else (np.zeros(0, np.int64), np.zeros(0, np.uint64), need)
 
 
 def sketch_bits(band: int) -> int:
-    """Bits of the sketch of sets in a band: a power of two, two to four times the largest size."""
-    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 2 - 1).bit_length()))
+    """Bits of the sketch of sets in a band: a power of two, four to eight times the largest size."""
+    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 4 - 1).bit_length()))
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -150,24 +156,26 @@ def document_nodes(docs: DataFrame) -> DataFrame:
 
 
 def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, keys, nodes: packed arrays of equal length, one row a bucket and flush. A set occurs once a task."""
+    """bucket and packed arrays: keys, and for runs of keys of one set its node, the run's length and the number of keys
+    that it shares with any partner. One row a bucket and flush; a set occurs once a task."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held, seen = [], [], 0, set()
+        keys, nodes, needs, held, seen = [], [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node, need = np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            key, node, bucket = key[order], node[order], bucket[order]
+            key, node, need, bucket = key[order], node[order], need[order], bucket[order]
             at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(key))
-            out = {"bucket": bucket[at[:-1]].astype(np.int32), "keys": [], "nodes": [], "runs": []}
+            out = {"bucket": bucket[at[:-1]].astype(np.int32), "keys": [], "nodes": [], "runs": [], "needs": []}
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 cut = np.append(np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])), b - a)
                 out["keys"].append(np.ascontiguousarray((key[a:b] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
                 out["nodes"].append(node[a:b][cut[:-1]].tobytes())
                 out["runs"].append(np.diff(cut).astype(np.uint32).tobytes())
+                out["needs"].append(need[a:b][cut[:-1]].astype(np.uint32).tobytes())
             return pa.RecordBatch.from_pydict(out)
 
         for block in blocks(batches):
@@ -182,38 +190,41 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
                 seen = set()
             if not fresh:
                 continue
-            doc, key = part_keys(values, ptr, np.array(fresh))
+            doc, key, need = part_keys(values, ptr, np.array(fresh))
             keys.append(key)
+            needs.append(need[doc])
             nodes.append(node[doc])
             held += len(key)
             if held > FLUSH:
                 yield flush()
-                keys, nodes, held = [], [], 0
+                keys, nodes, needs, held = [], [], [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, nodes binary, runs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, nodes binary, runs binary, needs binary")
 
 
 def group_rows(packed: DataFrame) -> DataFrame:
-    """a, b, grp, blk: pairs of small groups (grp null), and memberships of large ones (b null): the group's key, and
-    the pair of blocks to meet in (0 for groups of one block)."""
+    """a, b, grp, blk, low, need: pairs of small groups (grp null), and memberships of large ones (b null): the group's
+    key, the pair of blocks to meet in (0 for groups of one block), the group's smallest node, and how many keys the
+    member shares with any partner."""
 
-    def groups(parts: list[tuple[bytes, bytes, bytes]], bucket: int) -> pa.RecordBatch:
-        key = np.zeros((sum(len(k) for k, _, _ in parts) // 6, 8), np.uint8)
-        key[:, :6] = np.frombuffer(b"".join(k for k, _, _ in parts), np.uint8).reshape(-1, 6)
+    def groups(parts: list[tuple[bytes, bytes, bytes, bytes]], bucket: int) -> pa.RecordBatch:
+        key = np.zeros((sum(len(p[0]) for p in parts) // 6, 8), np.uint8)
+        key[:, :6] = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 6)
         key = key.view(np.uint64)[:, 0]
-        node = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(r, np.uint32)) for _, n, r in parts])
+        node, need = (np.concatenate([np.repeat(np.frombuffer(p[k], kind), np.frombuffer(p[2], np.uint32)) for p in parts]) for k, kind in ((1, np.int64), (3, np.uint32)))
         order = np.argsort(key, kind="stable")
         key = key[order]
         twin = np.zeros(len(key), bool)
         twin[1:] = key[1:] == key[:-1]
         twin[:-1] |= twin[1:]
-        key, node = key[twin], node[order[twin]]
+        key, node, need = key[twin], node[order[twin]], need[order[twin]]
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
-        key, node = key[~same], node[~same]
+        key, node, need = key[order], node[order], need[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
+        key, node, need = key[~same], node[~same], need[~same]
         cut = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)) if len(key) else np.zeros(1, np.int64)
         size = np.repeat(np.diff(cut), np.diff(cut))
         left = np.repeat(cut[1:], np.diff(cut)) - np.arange(len(key)) - 1  # members after this one
@@ -225,6 +236,7 @@ def group_rows(packed: DataFrame) -> DataFrame:
             a.append(node[at])
             b.append(node[at + step])
         pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
+        low = np.repeat(node[cut[:-1]], np.diff(cut)) if len(key) else node
         many = np.flatnonzero(size > SMALL)
         count = -(-size[many] // CLOSE)
         own = (mix(node[many].view(np.uint64)) % count.astype(np.uint64)).astype(np.int64)
@@ -236,6 +248,8 @@ def group_rows(packed: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({
             "a": np.concatenate([pairs[:, 0], node[many][rep]]), "b": pa.array([*pairs[:, 1].tolist(), *[None] * m], pa.int64()),
             "grp": pa.array([*[None] * n, *name[rep].tolist()], pa.int64()), "blk": pa.array([*[None] * n, *(x * 1_000_000 + y).tolist()], pa.int64()),
+            "low": pa.array([*[None] * n, *low[many][rep].tolist()], pa.int64()),
+            "need": pa.array([*[None] * n, *need[many][rep].tolist()], pa.int64()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +264,7 @@ def group_rows(packed: DataFrame) -> DataFrame:
         if parts:
             yield groups(parts, at)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, grp long, blk long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, grp long, blk long, low long, need long")
 
 
 def near(x: list, y: list) -> np.ndarray:
@@ -280,8 +294,8 @@ def near(x: list, y: list) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def sketch_pairs(members: DataFrame, leaders: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (grp, blk, node, n, sketch, comp). leaders: only pairs with each group's
+def sketch_pairs(members: DataFrame, nodes: DataFrame, leaders: bool) -> DataFrame:
+    """Candidate pairs (a, b) of members (grp, blk, low, node, comp); nodes: node, n, sketch. leaders: only pairs with each group's
     leader; else all near pairs of different components."""
 
     def block_pairs(grp: int, rows: list[tuple]) -> np.ndarray:
@@ -317,8 +331,11 @@ def sketch_pairs(members: DataFrame, leaders: bool) -> DataFrame:
         if rows and (b := out()) is not None:
             yield b
 
-    ordered = members.select("grp", "blk", "node", "n", "sketch", "comp").repartition("grp", "blk").sortWithinPartitions("grp", "blk")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    # Groups that lie in one component have nothing to tell; sketches join the rest only.
+    mixed = members.groupBy("grp", "blk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp", "blk")
+    members = members.join(mixed, ["grp", "blk"]).join(nodes, "node")
+    placed = members.repartition("low", F.pmod("grp", F.lit(LOTS)), "blk").sortWithinPartitions("grp", "blk")
+    return placed.select("grp", "blk", "node", "n", "sketch", "comp").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -398,15 +415,20 @@ def parity_join(docs: DataFrame) -> DataFrame:
     nodes = saved(every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = saved(group_rows(packed_keys(named, buckets)))
-    members = groups.where("b is null").select("grp", "blk", F.col("a").alias("node")).join(nodes, "node")
+    large = groups.where("b is null").select("grp", "blk", "low", F.col("a").alias("node"), "need")
+    # Partners that meet in no small group share all their keys in large ones, so a node needs as many of those.
+    able = large.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("node")
+    members = saved(large.drop("need").join(able, "node"))
     lead = members.where(F.pmod("grp", F.lit(LEAD_EVERY)) == 0).withColumn("comp", F.monotonically_increasing_id())
     small = near_pairs(groups.where("b is not null").select("a", "b").distinct(), nodes)
-    first = saved(small.union(sketch_pairs(lead, True)).distinct())
+    first = saved(small.union(sketch_pairs(lead, nodes, True)).distinct())
     links = verified(first, named, nodes)
-    roots = saved(components(links))
-    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    more = sketch_pairs(labelled, False).join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(more, named, nodes))
+    for leaders in (True, False):  # once more with leaders, of all groups; then whatever is left
+        roots = saved(components(links))
+        labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        more = saved(sketch_pairs(labelled, nodes, leaders).join(first, ["a", "b"], "left_anti"))
+        first = first.union(more)
+        links = links.union(verified(more, named, nodes))
     roots = saved(components(links))
     classes = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
