@@ -98,8 +98,9 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
 
 
 def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles (positions) of distinct planar points, by insertion: each point removes the triangles whose
-    circumcircle holds it and joins the rim of the hole. Collinear input has none."""
+    """Delaunay triangles (positions) of distinct planar points, by insertion from left to right: each point removes the
+    triangles whose circumcircle holds it and joins the rim of the hole; triangles whose circle lies wholly to the left
+    are final and leave the search. Collinear input has none."""
     n = len(points)
     if n < 3:
         return []
@@ -117,10 +118,19 @@ def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
         uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
         return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
 
-    triangles = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}
+    triangles, final = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}, []
     for p in np.lexsort((points[:, 1], points[:, 0])).tolist():
         x, y = at[p]
-        bad = [t for t, (ux, uy, r) in triangles.items() if (x - ux) ** 2 + (y - uy) ** 2 < r * (1 + 1e-12)]
+        bad, past = [], []
+        for t, (ux, uy, r) in triangles.items():
+            dx, reach = x - ux, r * (1 + 1e-12)
+            if dx > 0 and dx * dx >= reach:
+                past.append(t)
+            elif dx * dx + (y - uy) * (y - uy) < reach:
+                bad.append(t)
+        for t in past:
+            del triangles[t]
+        final += past
         rim: dict[tuple[int, int], bool] = {}
         for a, b, c in bad:
             for e in ((a, b), (b, c), (c, a)):
@@ -131,7 +141,7 @@ def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
             del triangles[a, b, c]
         for a, b in rim:
             triangles[a, b, p] = circle(a, b, p)
-    return [t for t in triangles if max(t) < n and circle(*t)[2] < math.inf]
+    return [t for t in [*final, *triangles] if max(t) < n and circle(*t)[2] < math.inf]
 
 
 def alpha_edges(points: np.ndarray, alpha: float) -> list[tuple[int, int]]:
