@@ -107,7 +107,7 @@ def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
     low, high = points.min(0), points.max(0)
     span = float(max(high - low)) or 1.0
     mid = (low + high) / 2
-    at = np.vstack([points - mid, np.array([[-30.0, -20.0], [30.0, -20.0], [0.0, 40.0]]) * span]).tolist()
+    at = np.vstack([points - mid, np.array([[-30.0, -20.0], [30.0, -20.0], [0.0, 40.0]]) * span * 1000]).tolist()
 
     def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
         (ax, ay), (bx, by), (cx, cy) = at[a], at[b], at[c]
