@@ -76,7 +76,14 @@ def pixel_coords(spark, sf_dir):
     return g.select("id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"), F.round(G.pixel_to_lon(px, 4194304.0), 6).alias("lon"), F.round(G.pixel_to_lat(py, 4194304.0), 6).alias("lat"))
 
 
-@query()
+_Y_OF = f"(degrees(0.5) * ln((1 + sin(radians(greatest(least({{v}}, {G.MAX_LATITUDE}), -{G.MAX_LATITUDE})))) / (1 - sin(radians(greatest(least({{v}}, {G.MAX_LATITUDE}), -{G.MAX_LATITUDE}))))))"
+
+
+@query(f"""WITH {GEO_SQL}, p AS (SELECT id, lat / 1e6 AS a, lon / 1e6 AS b FROM geo WHERE abs(lat) <= 85000000),
+t AS (SELECT *, trunc(256 * (b + 180) / 360) AS tx, trunc(256 * (1 - ln(tan(radians(a)) + 1 / cos(radians(a))) / {PI}) / 2) AS ty FROM p),
+e AS (SELECT *, tx / 256 * 360 - 180 AS west, (tx + 1) / 256 * 360 - 180 AS east, degrees(atan(sinh({PI} * (1 - 2 * ty / 256)))) AS north, degrees(atan(sinh({PI} * (1 - 2 * (ty + 1) / 256)))) AS south FROM t)
+SELECT id, least(greatest(trunc((b - west) * 4095 / (east - west)), 0), 4095)::BIGINT AS x,
+  least(greatest(trunc(({_Y_OF.format(v='a')} - {_Y_OF.format(v='north')}) * 4095 / ({_Y_OF.format(v='south')} - {_Y_OF.format(v='north')})), 0), 4095)::BIGINT AS y FROM e""")
 def linestring_tile(spark, sf_dir):
     """Every point inside its own tile, 0 to 4095."""
     g = geo(spark, sf_dir).where("abs(lat) <= 85000000").select("id", G.degrees(F.col("lat")).alias("lat"), G.degrees(F.col("lon")).alias("lon"))
@@ -154,11 +161,15 @@ def zorder_sort(spark, sf_dir):
     return global_prefix_sums(g, "k", "one", 8).select("id", F.col("prefix").alias("pos"))
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey, o_orderkey % 4096 AS x, floor(o_totalprice % 4096)::BIGINT AS y, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey) AS n,
+  lag(o_orderkey % 4096, 1, 0) OVER w AS px, lag(floor(o_totalprice % 4096)::BIGINT, 1, 0) OVER w AS py FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+z AS (SELECT o_custkey, k, n, CASE WHEN x >= px THEN 2 * (x - px) ELSE -2 * (x - px) - 1 END AS dx, CASE WHEN y >= py THEN 2 * (y - py) ELSE -2 * (y - py) - 1 END AS dy FROM o)
+SELECT o_custkey, array_to_string(flatten(list(CASE WHEN k = 1 THEN [9, dx, dy] WHEN k = 2 THEN [2 + 8 * (n - 1), dx, dy] ELSE [dx, dy] END ORDER BY k))::BIGINT[], ',') AS stream FROM z GROUP BY o_custkey""")
 def mvt_lines(spark, sf_dir):
     """Vector-tile streams of each customer's orders as a line."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") % 4096).cast("long").alias("y")))).alias("p"))
-    return o.select("o_custkey", E.geometry(F.transform("p", lambda p: p["o_orderkey"] % 4096), F.transform("p", lambda p: p["y"])).alias("stream"))
+    stream = E.geometry(F.transform("p", lambda p: p["o_orderkey"] % 4096), F.transform("p", lambda p: p["y"]))
+    return o.select("o_custkey", F.array_join(stream.cast("array<string>"), ",").alias("stream"))
 
 
 @query(f"WITH {GEO_SQL} SELECT id, round(lat / 1e6, 5) AS lat, round(lon / 1e6, 5) AS lon FROM geo")
