@@ -129,8 +129,8 @@ def part_keys(values: np.ndarray, ptr: np.ndarray, docs: np.ndarray) -> tuple[np
 
 
 def sketch_bits(band: int) -> int:
-    """Bits of the sketch of sets in a band: a power of two, four to eight times the largest size."""
-    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 4 - 1).bit_length()))
+    """Bits of the sketch of sets in a band: a power of two, two to four times the largest size."""
+    return min(1 << 17, max(64, 1 << int(LOWEST[band + 1] * 2 - 1).bit_length()))
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -171,11 +171,13 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
             at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(key))
             out = {"bucket": bucket[at[:-1]].astype(np.int32), "keys": [], "nodes": [], "runs": [], "needs": []}
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                cut = np.append(np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])), b - a)
+                edge = np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])
+                edge[:: 1 << 15] = True  # run lengths fit 16 bits
+                cut = np.append(np.flatnonzero(edge), b - a)
                 out["keys"].append(np.ascontiguousarray((key[a:b] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
                 out["nodes"].append(node[a:b][cut[:-1]].tobytes())
-                out["runs"].append(np.diff(cut).astype(np.uint32).tobytes())
-                out["needs"].append(need[a:b][cut[:-1]].astype(np.uint32).tobytes())
+                out["runs"].append(np.diff(cut).astype(np.uint16).tobytes())
+                out["needs"].append(np.minimum(need[a:b][cut[:-1]], 65_535).astype(np.uint16).tobytes())
             return pa.RecordBatch.from_pydict(out)
 
         for block in blocks(batches):
@@ -213,7 +215,7 @@ def group_rows(packed: DataFrame) -> DataFrame:
         key = np.zeros((sum(len(p[0]) for p in parts) // 6, 8), np.uint8)
         key[:, :6] = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 6)
         key = key.view(np.uint64)[:, 0]
-        node, need = (np.concatenate([np.repeat(np.frombuffer(p[k], kind), np.frombuffer(p[2], np.uint32)) for p in parts]) for k, kind in ((1, np.int64), (3, np.uint32)))
+        node, need = (np.concatenate([np.repeat(np.frombuffer(p[k], kind), np.frombuffer(p[2], np.uint16)) for p in parts]) for k, kind in ((1, np.int64), (3, np.uint16)))
         order = np.argsort(key, kind="stable")
         key = key[order]
         twin = np.zeros(len(key), bool)
