@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from roadloom.llm.arrowtext import Block, map_blocks, mix, texts
 
-MEMO = 250_000
+MEMO = 120_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -38,7 +38,7 @@ SMALL, CLOSE, LEAD_EVERY = 16, 2048, 8
 #: Groups with the same smallest node hold much the same nodes; they meet in so many tasks, which know what they told.
 LOTS = 16
 #: Keys that a task packs before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Bits of the filter for the nodes whose sets are needed: its size is fixed, a crowded filter only passes more.
 BLOOM_BITS = 1 << 24
 _LOW = np.uint64((1 << 55) - 1)
@@ -177,7 +177,7 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
                 out["keys"].append(np.ascontiguousarray((key[a:b] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
                 out["nodes"].append(node[a:b][cut[:-1]].tobytes())
                 out["runs"].append(np.diff(cut).astype(np.uint16).tobytes())
-                out["needs"].append(np.minimum(need[a:b][cut[:-1]], 65_535).astype(np.uint16).tobytes())
+                out["needs"].append(need[a:b][cut[:-1]].tobytes())
             return pa.RecordBatch.from_pydict(out)
 
         for block in blocks(batches):
@@ -194,7 +194,7 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             doc, key, need = part_keys(values, ptr, np.array(fresh))
             keys.append(key)
-            needs.append(need[doc])
+            needs.append(np.minimum(need, 65_535).astype(np.uint16)[doc])
             nodes.append(node[doc])
             held += len(key)
             if held > FLUSH:
