@@ -286,7 +286,7 @@ def near(x: list, y: list) -> np.ndarray:
             left, right = (np.array([fold(rows[k][2], bits) for k in at]) for rows, at in ((x, i), (y, j)))
             nl, nr = np.array([x[k][1] for k in i]), np.array([y[k][1] for k in j])
             cl, cr = np.array([x[k][3] for k in i]), np.array([y[k][3] for k in j])
-            step = max(1, (1 << 21) // max(1, right.size))
+            step = max(1, (1 << 18) // max(1, right.size))
             for a in range(0, len(i), step):
                 far = np.bitwise_count(left[a : a + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int32)
                 total = nl[a : a + step, None] + nr[None, :]
