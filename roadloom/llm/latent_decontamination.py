@@ -7,13 +7,14 @@ latent vector is near a passage's by cosine, and holds enough of its weight, is
 by the longest common subsequence of words around the window: as a copy from COPY of the passage's words in order, or
 as a paraphrase from PARAPHRASE of them if most of the passage's answer words (its rarest) are there too.
 
-Documents are only mapped, never shuffled. Passages go out in blocks of at most ITEMS, so what is broadcast has a
-bound; more passages mean more scans.
+Documents are only mapped, never shuffled; hits, without their texts, meet the items of their passage. Distinct
+passages go out in blocks of at most ITEMS, so what is broadcast has a bound; more passages mean more scans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ PASSAGE, STRIDE, LEAST_WORDS = 64, 32, 5
 RANK, EXTRA, POWER = 96, 16, 2
 COSINE, MASS, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.35, 0.25, 0.8, 0.5, 0.5, 6
 ITEMS = 2000
+LOTS = 16  # tasks for the items of one passage
 _MAP = 20  # bits of the quick filter for words
 
 
@@ -177,8 +179,8 @@ def common_subsequence(size: int, hits: list[int]) -> int:
 class Index:
     """Latent vectors of passages and what confirms a candidate."""
 
-    def __init__(self, items: list[int], bodies: list[bytes], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
-        self.items, self.vocabulary = items, vocabulary
+    def __init__(self, bodies: list[bytes], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
+        self.keys, self.vocabulary = [md5(b).hexdigest() for b in bodies], vocabulary
         self.space = space * idf[:, None].astype(np.float32)
         self.useful = idf > 0.5
         block = block_of(bodies)
@@ -245,25 +247,39 @@ class Index:
         return [(d, p, c, share, answer) for (d, p), (share, answer, c) in best.items()]
 
 
-def fit_index(docs: DataFrame, passages: DataFrame) -> Index | None:
-    """The index over one block of passages (item_id, body); None if there is nothing to find."""
-    got = sorted((r[0], bytes(r[1])) for r in passages.limit(ITEMS + 1).collect())
+def fit_index(docs: DataFrame, bodies: DataFrame) -> Index | None:
+    """The index over one block of distinct passages (body); None if there is nothing to find."""
+    got = sorted(bytes(r[0]) for r in bodies.limit(ITEMS + 1).collect())
     if not got:
         return None
-    items, bodies = [g[0] for g in got], [g[1] for g in got]
-    block = block_of(bodies)
+    if len(got) > ITEMS:
+        raise ValueError(f"more than {ITEMS} passages in a block")
+    block = block_of(got)
     vocabulary = Vocabulary(hash_words(block, block.words()))
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    return Index(items, bodies, vocabulary, idf, randomised_svd(passages, vocabulary, idf))
-
-
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """One index for each block of passages."""
-    passages = saved(item_passages(benchmark))
-    parts = -(-passages.count() // (ITEMS // 2))  # hashed parts stay under ITEMS
-    for k in range(parts):
-        if (index := fit_index(docs, passages.where(F.pmod(F.xxhash64("body"), F.lit(parts)) == k).coalesce(4))) is not None:
+    return Index(got, vocabulary, idf, randomised_svd(bodies, vocabulary, idf))
+
+
+def parted(bodies: DataFrame, n: int, salt: int = 0) -> Iterator[DataFrame]:
+    """The n distinct bodies in parts of at most ITEMS, by hash; a part that comes out larger is split again."""
+    if not n:
+        return
+    parts = -(-n // max(1, ITEMS // 2))
+    part = F.pmod(F.xxhash64("body", F.lit(salt)), F.lit(parts))
+    for k, size in sorted(tuple(r) for r in bodies.groupBy(part.alias("k")).count().collect()):  # a row for ITEMS / 2 passages
+        own = bodies.where(part == k)
+        if size > ITEMS:
+            yield from parted(own, size, salt + 1)
+        else:
+            yield own
+
+
+def indexes(docs: DataFrame, passages: DataFrame) -> Iterator[Index]:
+    """One index for each block of distinct passages (item_id, body), however many items hold one."""
+    bodies = saved(passages.select("body").distinct())
+    for part in parted(bodies, bodies.count()):
+        if (index := fit_index(docs, part.coalesce(4))) is not None:
             yield index
 
 
@@ -275,30 +291,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     under five words are no queries. Repeated rows are reported each. An empty table on either side gives no rows.
     """
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").where("text is not null")
-    found = []
-    for index in indexes(own, benchmark):
+    passages, found = saved(item_passages(benchmark)), []
+    for index in indexes(own, passages):
 
         def rows(block: Block, index=index):
             hits = index.confirmed(block)
             if not hits:
                 return None
             d, p, cosine, share, answer = zip(*hits, strict=True)
-            return {"doc_id": block.column("doc_id").take(pa.array(d)), "item_id": pa.array([index.items[i] for i in p], pa.int64()), "cosine": pa.array(cosine, pa.float64()), "common": pa.array(share, pa.float64()), "answer": pa.array(answer, pa.float64())}
+            return {"doc_id": block.column("doc_id").take(pa.array(d)), "body": pa.array([index.keys[i] for i in p]), "cosine": pa.array(cosine, pa.float64()), "common": pa.array(share, pa.float64()), "answer": pa.array(answer, pa.float64())}
 
-        found.append(map_blocks(own, ["doc_id", "text"], rows, "doc_id long, item_id long, cosine double, common double, answer double"))
+        found.append(map_blocks(own, ["doc_id", "text"], rows, "doc_id long, body string, cosine double, common double, answer double"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    # Items come back by their passages; documents of one passage, and their items, go to LOTS tasks.
+    items = passages.select(F.md5("body").alias("body"), "item_id", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
+    hits = out.withColumn("lot", F.pmod(F.xxhash64("doc_id", "cosine"), F.lit(LOTS)).cast("int"))
+    pairs = hits.join(items, ["body", "lot"])
+    return pairs.select("doc_id", "item_id", "cosine", "common", "answer")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and whatever else) that hold no passage of the benchmark; nothing is shuffled."""
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").where("text is not null")
     out = docs
-    for index in indexes(own, benchmark):
+    for index in indexes(own, saved(item_passages(benchmark))):
 
         def keep(block: Block, index=index):
             mask = np.ones(len(block), bool)

@@ -325,6 +325,20 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in latent_decontamination.contaminated(docs, bench).collect()} == want
 
 
+def test_decontamination_of_one_text_in_many_items(spark, monkeypatch):
+    """Items that share a text don't crowd others out of a block, and each is reported."""
+    monkeypatch.setattr(latent_decontamination, "ITEMS", 24)
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    items = [(k, text()) for k in range(60)] + [(100 + k, "one text " + "of many items here " * 5) for k in range(30)]
+    hosts = [(k, f"{text()} {t} {text()}") for k, t in items if k <= 100] + [(200 + k, text()) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(hosts, "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in latent_decontamination.contaminated(docs, bench).collect())
+    assert got == Counter([(k, k) for k in range(60)] + [(100, 100 + k) for k in range(30)])
+    assert {r.doc_id for r in latent_decontamination.clean_documents(docs, bench).collect()} == {200 + k for k in range(20)}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
