@@ -3,7 +3,9 @@
 Benchmark items are cut into passages of at most PASSAGE words, weighted by TF-IDF (document frequencies counted over
 the whole corpus), and a randomised singular value decomposition of the passage matrix, its products summed over the
 partitions, gives a latent space. Every document is read as overlapping windows of PASSAGE words; a window whose
-latent vector is near a passage's by cosine, and holds enough of its weight, is a candidate. A candidate is confirmed
+latent vector is near a passage's by cosine, and holds enough of its weight, is a candidate, and so is every place that
+shares a run of LEAST_WORDS words with a passage: of each passage all runs that few others have, and its rarest run
+however many have it, so no verbatim copy depends on the rank of the latent space. A candidate is confirmed
 by the longest common subsequence of words around the window: as a copy from COPY of the passage's words in order, or
 as a paraphrase from PARAPHRASE of them if most of the passage's answer words (its rarest) are there too.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.arrowtext import Block, blocks, map_blocks
+from roadloom.llm.arrowtext import Block, blocks, map_blocks, windows
 from roadloom.session import saved, ship
 from roadloom.llm.toxicity_gru import bare_words, block_of
 
@@ -30,6 +32,7 @@ RANK, EXTRA, POWER = 96, 16, 2
 COSINE, MASS, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.35, 0.25, 0.8, 0.5, 0.5, 6
 ITEMS = 2000
 LOTS = 16  # tasks for the items of one passage
+SHARED = 8  # passages of a block that may have a run of words that is looked up for all of them
 _MAP = 20  # bits of the quick filter for words
 
 
@@ -192,10 +195,53 @@ class Index:
         np.add.at(latent, np.searchsorted(words.ptr, at, "right") - 1, self.space[number])
         self.norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
         self.latent = latent / self.norm[:, None]
+        self._runs(hash_words(block, words), words, idf, np.concatenate(own) if own else np.zeros(0, np.int64))
         # Rarest words by steps of idf (a word that occurs twice is as rare as one that occurs once), the later first.
         step = np.floor(idf / 2).tolist()
         self.answer = [set(sorted({w: i for i, w in enumerate(x)}, key=lambda w, x=x: (-step[w], -len(x) + 1 + x[::-1].index(w)))[:ANSWER_WORDS]) for x in own]
 
+    def _runs(self, keys: np.ndarray, words, idf: np.ndarray, number: np.ndarray) -> None:
+        """The runs of words that are looked up: for run i the passages and places run_of and run_at[run_ptr[i]:run_ptr[i + 1]]."""
+        at = np.flatnonzero(words.window_ok(LEAST_WORDS))
+        run, of = windows(keys, LEAST_WORDS)[at], words.doc[at]
+        weight = np.convolve(idf[number], np.ones(LEAST_WORDS), "valid")[at]
+        _, run_id = np.unique(run, return_inverse=True)
+        pair, first = np.unique(np.column_stack([run_id, of]), axis=0, return_index=True)
+        common = np.bincount(pair[:, 0], minlength=run_id.max(initial=-1) + 1)[run_id]
+        order = np.lexsort((at, run_id, -weight, common, of))
+        keep = common <= SHARED
+        keep[order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))]] = True
+        keep &= np.isin(np.arange(len(run)), first)  # a run that a passage repeats counts from its first place
+        run, of, at = run[keep], of[keep], (at - words.ptr[of])[keep]
+        self.runs = Vocabulary(run)
+        number = np.searchsorted(self.runs.hashes, run)
+        order = np.argsort(number, kind="stable")
+        self.run_of, self.run_at = of[order], at[order]
+        self.run_ptr = np.searchsorted(number[order], np.arange(len(self.runs.hashes) + 1))
+
+    def shared_runs(self, words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word of the block where the passage would start, passage) of places that share a run with a passage."""
+        ok = np.flatnonzero(words.window_ok(LEAST_WORDS))
+        at, number = self.runs.find(windows(keys, LEAST_WORDS)[ok])
+        at = ok[at]
+        found = [np.zeros((0, 3), np.int64)]
+        for cut in range(0, len(at), 4096):
+            own, of = at[cut : cut + 4096], number[cut : cut + 4096]
+            n = self.run_ptr[of + 1] - self.run_ptr[of]
+            row = np.arange(n.sum()) + np.repeat(self.run_ptr[of] - (np.cumsum(n) - n), n)
+            start = np.repeat(own, n) - self.run_at[row]
+            doc = np.searchsorted(words.ptr, np.repeat(own, n), "right") - 1
+            place = np.column_stack([doc, self.run_of[row], start])
+            found.append(place[np.unique(np.column_stack([place[:, :2], start // (STRIDE // 2)]), axis=0, return_index=True)[1]])
+        doc, passage, start = np.concatenate(found).T
+        return doc, start, passage
+
+    def cosine(self, number: list[int], p: int) -> float:
+        """Of known words and a passage."""
+        number = np.array(number, np.int64)
+        vector = self.space[number[self.useful[number]]].sum(0)
+        return float(vector @ self.latent[p] / max(np.linalg.norm(vector), 1e-9))
+
     def candidates(self, words, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, passage, cosine) of near windows; at, number: the known words."""
         n = np.diff(words.ptr)
@@ -229,12 +275,21 @@ class Index:
         """(document, passage, cosine, share in common order, share of answer words), the best window of each pair."""
         block = block.lowered()
         words, best = bare_words(block), {}
-        known, number = self.vocabulary.find(hash_words(block, words))
+        keys = hash_words(block, words)
+        known, number = self.vocabulary.find(keys)
         doc, start, passage, cosines = self.candidates(words, known, number)
-        low = np.searchsorted(known, np.maximum(words.ptr[doc], words.ptr[doc] + start - STRIDE))
-        high = np.searchsorted(known, np.minimum(words.ptr[doc + 1], words.ptr[doc] + start + PASSAGE + STRIDE))
+        low = np.maximum(words.ptr[doc], words.ptr[doc] + start - STRIDE)
+        high = np.minimum(words.ptr[doc + 1], words.ptr[doc] + start + PASSAGE + STRIDE)
+        d, at, p = self.shared_runs(words, keys)
+        size = np.array(self.size, np.int64)[p]
+        low = np.concatenate([low, np.maximum(words.ptr[d], at - STRIDE)])
+        high = np.concatenate([high, np.minimum(words.ptr[d + 1], at + size + STRIDE)])
+        # Where the latent vector is not taken yet, it is that of the words under the passage.
+        inner = np.searchsorted(known, np.concatenate([np.zeros((len(doc), 2), np.int64), np.column_stack([np.maximum(words.ptr[d], at), np.minimum(words.ptr[d + 1], at + size)])]))
+        doc, passage, cosines = np.concatenate([doc, d]), np.concatenate([passage, p]), np.concatenate([cosines, np.full(len(d), np.nan)])
+        low, high = np.searchsorted(known, low), np.searchsorted(known, high)
         number = number.tolist()
-        for d, a, b, p, cosine in zip(*(x.tolist() for x in (doc, low, high, passage, cosines)), strict=True):
+        for d, a, b, p, cosine, (i, j) in zip(*(x.tolist() for x in (doc, low, high, passage, cosines, inner)), strict=True):
             hits = [m for m in map(self.places[p].get, number[a:b]) if m]
             if len(hits) < PARAPHRASE * self.size[p]:  # no order can make up for missing words
                 continue
@@ -243,6 +298,7 @@ class Index:
                 continue
             answer = len(self.answer[p].intersection(number[a:b])) / max(1, len(self.answer[p]))
             if share >= COPY or answer >= ANSWER:
+                cosine = self.cosine(number[i:j], p) if cosine != cosine else cosine
                 best[d, p] = max(best.get((d, p), (0.0, 0.0, 0.0)), (share, answer, cosine))
         return [(d, p, c, share, answer) for (d, p), (share, answer, c) in best.items()]
 

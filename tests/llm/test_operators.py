@@ -339,6 +339,19 @@ def test_decontamination_of_one_text_in_many_items(spark, monkeypatch):
     assert {r.doc_id for r in latent_decontamination.clean_documents(docs, bench).collect()} == {200 + k for k in range(20)}
 
 
+def test_decontamination_recall_of_copies(spark):
+    """No verbatim copy of a thousand short passages is lost, whatever the latent space keeps of them."""
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 800 and 8000").orderBy("doc_id").limit(2000).collect()]
+    rng, items, rows = random.Random(6), [], []
+    for k, (source, host) in enumerate(zip(texts[:1000], texts[1000:], strict=True)):
+        n = rng.randrange(15, 60)
+        at, to = rng.randrange(len(source) - n + 1), rng.randrange(len(host) + 1)
+        items.append((k, " ".join(source[at : at + n])))
+        rows.append((k, " ".join(host[:to] + source[at : at + n] + host[to:])))
+    got = latent_decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(k, k) for k in range(1000)}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
