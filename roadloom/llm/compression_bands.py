@@ -17,8 +17,10 @@ from roadloom.llm.line_dedup import worded_lines
 
 #: (bytes of the document, lowest ratio, highest ratio) at LEVEL, straight lines over the logarithm of the length between.
 BANDS = ((128, 1.00, 1.65), (256, 1.10, 1.76), (512, 1.20, 1.92), (1024, 1.30, 2.08), (2048, 1.45, 2.24), (4096, 1.55, 2.36), (16_384, 1.70, 2.52), (65_536, 1.75, 2.62))
-#: Fixed chunks: bytes in a chunk, highest ratio of one chunk, share of a document's full chunks that may be above it.
-CHUNK, CHUNK_MAX, CHUNK_SHARE = 2048, 3.0, 0.5
+#: The same for chunks, whose last one may be short; below 128 bytes only the upper limit tells anything.
+CHUNK_BANDS = ((1, 0.00, 0.50), (8, 0.10, 0.90), (32, 0.30, 1.10), (64, 0.60, 1.45), *(b for b in BANDS if b[0] <= 2048))
+#: Fixed chunks: bytes in a chunk, share of a document's bytes that may lie in chunks outside of their limits.
+CHUNK, CHUNK_SHARE = 2048, 0.125
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -64,22 +66,36 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+def limits(bands: tuple, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest ratio for each size in bytes."""
+    knots, lows, highs = np.array(bands).T
+    at = np.log2(np.maximum(size, 1))
+    return np.interp(at, np.log2(knots), lows), np.interp(at, np.log2(knots), highs)
+
+
+_CHUNK_LIMITS = np.column_stack(limits(CHUNK_BANDS, np.arange(CHUNK + 1))).tolist()
+
+
 def ratios(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole, and the share of full chunks above CHUNK_MAX. Empty: 1 and 0."""
+    """Ratio of the whole, and the share of its bytes in chunks (the last may be short) outside of the limits for their
+    length. Empty: 1 and 0."""
     if not data:
         return 1.0, 0.0
-    high = n = 0
-    for at in range(0, len(data) - CHUNK + 1, CHUNK):
-        n += 1
-        high += CHUNK > CHUNK_MAX * len(packer.compress(data[at : at + CHUNK]))
-    return len(data) / len(packer.compress(data)), high / n if n else 0.0
+    whole, out = len(data) / len(packer.compress(data)), 0
+    for at in range(0, len(data), CHUNK):
+        n = min(CHUNK, len(data) - at)
+        ratio = whole if n == len(data) else n / len(packer.compress(data[at : at + n]))
+        low, high = _CHUNK_LIMITS[n]
+        out += 0 if low <= ratio <= high else n
+    return whole, out / len(data)
 
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, chunk_share.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated three-word windows. kept: not
-    base_failed, and the ratios are inside their bands. A null text is empty (all counts 0, base_failed). Repeated
+    base_failed, the ratio is inside its band, and chunk_share (of the bytes, in chunks outside of theirs) is at most
+    CHUNK_SHARE. A null text is empty (all counts 0, base_failed). Repeated
     rows and null ids keep a row each; an empty table gives no rows. Narrow: one pass, no shuffle.
     """
 
@@ -88,9 +104,7 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
         raw, size = block.data.tobytes(), block.sizes()
         both = np.array([ratios(raw[a:b], packer) for a, b in zip(block.offs[:-1], block.offs[1:], strict=True)]).reshape(-1, 2)
-        knots, lows, highs = np.array(BANDS).T
-        at = np.log2(np.maximum(size, 1))
-        low, high = np.interp(at, np.log2(knots), lows), np.interp(at, np.log2(knots), highs)
+        low, high = limits(BANDS, size)
         kept = ~failed & (both[:, 0] >= low) & (both[:, 0] <= high) & (both[:, 1] <= CHUNK_SHARE)
         out = {"doc_id": block.column("doc_id")} | {k: pa.array(c[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
         return out | {"base_failed": failed, "kept": kept, "ratio": both[:, 0], "chunk_share": both[:, 1]}

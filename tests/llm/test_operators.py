@@ -227,6 +227,28 @@ def test_bands_keep_good_documents(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.5
 
 
+def test_bands_of_chunks(spark):
+    """Noise or repetition in a minority of a long text is caught by the chunks, where the whole stays in its band."""
+    base = compression_bands.compression_bands(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 8000 and 30000")).where("kept").select("doc_id")
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(base, "doc_id").orderBy("doc_id").limit(60).collect()]
+    rng, rows, missed = random.Random(9), [], 0
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n // 9 + 1))[:n]
+    again = lambda n: (texts[0][:40] * (n // 40 + 1))[:n]
+    for k, t in enumerate(texts):
+        cut = len(t) * 7 // 10
+        rows += [(4 * k, t), (4 * k + 1, t[:cut] + noise(len(t) - cut)), (4 * k + 2, noise(len(t) - cut) + t[len(t) - cut :]), (4 * k + 3, t[:cut] + again(len(t) - cut))]
+    got = {r.doc_id: r for r in compression_bands.compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(texts) > 40
+    for d, t in rows:
+        low, high = compression_bands.limits(compression_bands.BANDS, np.array([len(t.encode())]))
+        assert got[d].kept == (d % 4 == 0)
+        missed += d % 4 > 0 and not got[d].base_failed and low[0] <= got[d].ratio <= high[0]
+    assert missed > 60  # that only the chunks catch
+    packer = zstandard.ZstdCompressor(level=3)
+    prose, tail = texts[0].encode()[: 3 * 2048], noise(900).encode()
+    assert compression_bands.ratios(prose, packer)[1] == 0 and compression_bands.ratios(prose + tail, packer)[1] == 900 / (3 * 2048 + 900)
+
+
 # Near duplicates
 
 
