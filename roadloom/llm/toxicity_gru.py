@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as its own (hashed) embedding beside the mean embedding of its character n-grams and of its openings,
-so unseen compounds of known parts still say something. The network reads windows of WINDOW words that overlap by half, attention pools
+so unseen compounds of known parts still say something. Very long words (texts without spaces are one) enter as
+overlapping pieces, each as a word, so every byte is read. The network reads windows of WINDOW words that overlap by half, attention pools
 the states of a window to one logit, and the document takes its highest window; two numbers fitted at the end turn
 that logit into a probability.
 """
@@ -20,6 +21,8 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, OPENING_ROWS, WIDTH, HIDDEN = 1 << 15, 1 << 14, 1 << 16, 6, 8
 #: Bytes of the n-grams anywhere in a framed word, and of its openings (the frame byte included).
 GRAMS, OPENINGS = (3, 4), (4, 5, 6, 7)
+#: Longest word in bytes, and bytes that neighbouring pieces of a longer one share.
+PIECE, OVERLAP = 48, max(OPENINGS)
 #: The most labelled documents in training, and the windows taken (evenly) from each of them.
 SAMPLE, SAMPLE_WINDOWS = 4000, 12
 EPOCHS, BATCH, RATE = 5, 48, 0.06
@@ -37,13 +40,24 @@ def bare_words(block: Block) -> Words:
     return Words(start, end, w.ptr)
 
 
+def pieces(words: Words) -> Words:
+    """The words, those over PIECE bytes as overlapping pieces that cover all of their bytes."""
+    step = PIECE - OVERLAP
+    count = np.maximum(1, 1 - (PIECE - (words.end - words.start)) // step)
+    of = np.repeat(np.arange(len(count)), count)
+    before = np.cumsum(count) - count
+    start = words.start[of] + (np.arange(len(of)) - before[of]) * step
+    return Words(start, np.minimum(start + PIECE, words.end[of]), np.concatenate([before, [len(of)]])[words.ptr])
+
+
 def rows_of(block: Block, words: Words) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct words of a block: for each word its number; for each number its embedding row, the rows of its n-grams
-    (all in one array, with bounds) and the rows of its openings. A word is taken lower-cased between frame bytes."""
+    (all in one array, with bounds) and the rows of its openings. A word (a piece at most) is taken lower-cased between
+    frame bytes."""
     keys = block.hashes(words.start, words.end, seed=3, lower=True)
     uniq, first, number = np.unique(keys, return_index=True, return_inverse=True)
     start, end = words.start[first], words.end[first]
-    size = np.minimum(end - start, 48) + 2  # very long words: their first 48 bytes
+    size = end - start + 2
     offs = np.concatenate([[0], np.cumsum(size)])
     buf = np.full(offs[-1] + max(OPENINGS), 2, np.uint64)
     inner = np.repeat(start - offs[:-1] - 1, size) + np.arange(offs[-1])
@@ -173,7 +187,7 @@ class Network:
 
     def window_logits(self, block: Block, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(document, logit) of all windows of the block."""
-        words = words or bare_words(block)
+        words = words or pieces(bare_words(block))
         if not len(words.start):
             return np.zeros(0, np.int64), np.zeros(0)
         number, *inputs = rows_of(block, words)
@@ -197,13 +211,13 @@ def block_of(texts: list[bytes]) -> Block:
 
 
 def train(docs: list[tuple[bytes, int]], share: float, seed: int = 0) -> Network:
-    """docs: (windows of WINDOW words, one a line, label). share: of label 1 among all labelled rows."""
+    """docs: (windows of WINDOW words or pieces, bare and one a line, label). share: of label 1 among all labelled rows."""
     net, rng = Network(seed), np.random.default_rng(seed)
     lines = [line for text, _ in docs for line in text.split(b"\n")]
     of = np.repeat(np.arange(len(docs)), [text.count(b"\n") + 1 for text, _ in docs])
     y = np.array([label for _, label in docs], float)
     block = block_of(lines)
-    words = bare_words(block)
+    words = block.words()
     number, row, grams, openings = rows_of(block, words)
     pos = words.ptr[:-1, None] + np.arange(WINDOW)
     mask = (pos < words.ptr[1:, None]).astype(np.float32)
@@ -273,7 +287,7 @@ def _part(net: Network, at: np.ndarray, row: np.ndarray, grams: tuple[np.ndarray
 
 def sampled_windows(block: Block) -> list[bytes]:
     """At most SAMPLE_WINDOWS windows of each document, evenly over all of it, one a line."""
-    words, raw, out = block.words(), block.data.tobytes(), []
+    words, raw, out = pieces(bare_words(block)), block.data.tobytes(), []
     for d in range(len(block)):
         a, b = words.ptr[d], words.ptr[d + 1]
         starts = window_starts(np.array([b - a]))[1]

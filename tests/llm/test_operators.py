@@ -450,6 +450,29 @@ def test_toxicity(spark, odd, labels):
     assert {r.score for r in toxicity_gru.toxicity_scores(odd, named.limit(0)).collect()} == {0.0}
 
 
+def test_pieces():
+    """Every byte of a long word is in a piece, and every n-gram too."""
+    sizes = [1, 47, 48, 49, 89, 90, 500, 3]
+    block = toxicity_gru.block_of([b" ".join(b"a" * n for n in sizes[:4]), b"", b" ".join(b"b" * n for n in sizes[4:])])
+    words = toxicity_gru.bare_words(block)
+    got = toxicity_gru.pieces(words)
+    assert (got.end - got.start).max() == 48 and got.ptr[0] == 0 and got.ptr[1] == got.ptr[2] and got.ptr[-1] == len(got.start)
+    want = {p for a, b in zip(words.start, words.end, strict=True) for p in range(a, max(a + 1, b - 3))}
+    assert {p for a, b in zip(got.start, got.end, strict=True) for p in range(a, max(a + 1, b - 3))} == want
+    assert np.all(np.diff(got.start) > 0) and np.all(np.diff(got.end) > 0)
+    assert [int((got.start < words.start[words.ptr[2]]).sum()), len(got.start)] == [5, 5 + 2 + 3 + 13 + 1]
+
+
+def test_toxicity_without_spaces():
+    """In texts that are one word a phrase tells, wherever it stands."""
+    rng = random.Random(12)
+    clean = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E3C)) for _ in range(n))
+    rows = [(clean(rng.randrange(20, 200)) + ("毒舌惡言罵人" if k % 2 else "") + clean(rng.randrange(20, 200))).encode() for k in range(1500)]
+    net = toxicity_gru.train([(x, k % 2) for k, x in enumerate(toxicity_gru.sampled_windows(toxicity_gru.block_of(rows[:1000])))], 0.5)
+    score = net.scores(toxicity_gru.block_of(rows[1000:]))
+    assert (score[1::2, None] > score[None, ::2]).mean() > 0.9
+
+
 def test_gradients():
     """Backpropagation against differences."""
     rng = np.random.default_rng(0)
