@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom.plans import batched, flow, frontier, hierarchy
 from roadloom.queries.registry import registry
+from roadloom.session import fits, saved
 from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, trade
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -54,8 +55,10 @@ def filtered_reach(spark, sf_dir):
 
 @query(shortest_sql(COPURCHASE_SQL, "copurchase", "(SELECT min(src) FROM copurchase)", "SELECT node, dist FROM sp"))
 def sssp_copurchase(spark, sf_dir):
-    """The flagship: distances from the smallest part, by the batched kernel."""
-    e = copurchase(spark, sf_dir)
+    """The flagship: distances from the smallest part, by the batched kernel, or by iterated joins where the arcs don't fit."""
+    e = saved(copurchase(spark, sf_dir))
+    if not fits(e, batched.LOCAL_ROWS):
+        return frontier.distances(e, e.agg(F.min("src")).first()[0])
     return batched.one_to_all(e, e.agg(F.min("src").alias("node"))).select("node", "dist")
 
 

@@ -66,6 +66,15 @@ def test_overlay_settles_no_more(spark, small):
     assert all(r.overlay <= r.plain for r in QUERIES["query_levels"](spark, small).collect())
 
 
+def test_sssp_above_the_limit(spark, small, same, monkeypatch):
+    """Graphs that don't fit take the joins, with the same rows."""
+    from roadloom.plans import batched
+
+    monkeypatch.setattr(batched, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(batched.local_graph, "__defaults__", (10,))
+    assert same(QUERIES["sssp_copurchase"], ORACLE_SQL["sssp_copurchase"], spark, small)
+
+
 def test_entry(spark):
     import __spark_entry__
 
