@@ -75,6 +75,28 @@ def test_sssp_above_the_limit(spark, small, same, monkeypatch):
     assert same(QUERIES["sssp_copurchase"], ORACLE_SQL["sssp_copurchase"], spark, small)
 
 
+def test_shapes_of_all_customers(spark):
+    """Every customer is in a triangle and in the export, and no circle around a triangle holds a point of its cell."""
+    import numpy as np
+
+    at = "/root/testdata/sf0.01"
+    ids = {r.c_custkey for r in spark.read.parquet(f"{at}/customer.parquet").select("c_custkey").collect()}
+    cells, found = {}, QUERIES["delaunay"](spark, at).collect()
+    for i in ids:
+        cells.setdefault(i // 100, []).append((i * 7919 % 1009, i * 104729 % 1013))
+    assert max(map(len, cells.values())) <= 100
+    assert {i for r in found for i in (r.a, r.b, r.c)} == ids
+    for r in found:
+        (ax, ay), (bx, by), (cx, cy) = ((i * 7919 % 1009, i * 104729 % 1013) for i in (r.a, r.b, r.c))
+        p = np.array(cells[r.cell], float)
+        rows = [((x - p[:, 0]), (y - p[:, 1]), (x - p[:, 0]) ** 2 + (y - p[:, 1]) ** 2) for x, y in ((ax, ay), (bx, by), (cx, cy))]
+        (a, b, c), (d, e, f), (g, h, i) = rows
+        turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        assert turn and ((a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)) * np.sign(turn)).max() <= 1e-3
+    assert {r.cell for r in QUERIES["alpha_shape"](spark, at).select("cell").collect()} == set(cells)
+    assert QUERIES["boundary_geojson"](spark, at).count() == len(ids)
+
+
 def test_entry(spark):
     import __spark_entry__
 
