@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -21,13 +22,24 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where the session names none, as in tests."""
+    """The session's shared folder. Where the session names none, a temporary one, on a single machine only: executors of
+    a cluster would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="roadloom-"))
     return sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and held in the shared folder, where they outlive executors."""
     checkpoint_dir(df.sparkSession)
