@@ -4,9 +4,9 @@ Lines with a word are numbered within their document; every three consecutive on
 hash. A window's first occurrence is the one with the smallest (doc_id, line); every later occurrence covers its three
 lines, and covered lines go. Lines without a word take no part and stay.
 
-The windows shuffle as fixed-width rows, pre-aggregated to one row a window before anything meets; the repeated ones
-are saved and joined back to their occurrences (one row a window on that side, so hot windows split), and the texts
-move once.
+The windows shuffle as fixed-width rows, pre-aggregated to one row a window before anything meets. The repeated ones are
+saved and joined back to their occurrences: the HOT most frequent are broadcast, so that no window with more than a
+HOT-th of all occurrences is a key of a shuffle, and the texts move once.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from roadloom.llm.arrowtext import Block, map_blocks, windows
-from roadloom.llm.shared import saved
+from roadloom.session import saved
 
 LINES = 3
+#: The most frequent repeated windows, whose first occurrences are broadcast (40 bytes each).
+HOT = 2000
 
 
 def worded_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,21 +56,27 @@ def line_windows(docs: DataFrame) -> DataFrame:
     return map_blocks(docs.where("doc_id is not null"), ["doc_id", "text"], rows, "a long, b long, doc_id long, line int")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """All columns of docs (doc_id, text, ...) with text deduplicated, and n_lines, n_removed (lines with a word), which
-    replace columns of these names.
+def line_dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of docs (doc_id, text, ...) with text deduplicated, and the numbers of lines with a word and of those
+    removed. `counts` names these two; columns of docs with these names are replaced, so a caller who needs them picks
+    other names.
 
     Null and empty texts, and rows with a null doc_id, come back unchanged with nothing removed (n_lines counted);
     they are no source of repeats either where the id is null. Rows that repeat a doc_id count as one document. An
     empty table gives no rows. Documents of fewer than three lines have no window.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in counts]
     kept = [f for f in docs.schema if f.name in names]
     # All columns travel as one struct, so their names can't clash with ours.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
     found = line_windows(own)
-    first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    later = found.join(saved(first), ["a", "b"]).where(F.struct("doc_id", "line") > F.col("first"))
+    first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = saved(first)
+    hot = first.orderBy(F.desc("n"), "a", "b").limit(HOT).select("a", "b", F.col("first").alias("hot"))
+    # Occurrences of hot windows know their first one already; they go on under keys of their own, which spread them.
+    spread = lambda c: F.when(F.col("hot").isNull(), F.col(c)).otherwise(F.xxhash64("doc_id", "line", F.lit(c))).alias(c)
+    known = found.join(F.broadcast(hot), ["a", "b"], "left").select(spread("a"), spread("b"), "doc_id", "line", "hot")
+    later = known.join(first.select("a", "b", "first"), ["a", "b"], "left").where(F.struct("doc_id", "line") > F.coalesce("hot", "first"))
     gone = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnRenamed("doc_id", "_id")
     joined = own.join(gone, own.doc_id == gone["_id"], "left").drop("_id")
 
@@ -94,9 +102,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         null = block.column("text").is_null()
         texts = pa.compute.if_else(null, pa.scalar(None, pa.string()), texts)
         row = block.column("_row")
-        return {c: texts if c == "text" else row.field(c) for c in names} | {"n_lines": np.diff(first), "n_removed": removed}
+        return {c: texts if c == "text" else row.field(c) for c in names} | dict(zip(counts, (np.diff(first), removed), strict=True))
 
-    schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*kept, *(StructField(c, LongType()) for c in counts)])
     return map_blocks(joined, ["doc_id", "text", "_row", "_gone"], rows, schema)
 
 
