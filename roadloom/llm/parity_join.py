@@ -8,10 +8,12 @@ set for linked sets. By size, sets fall into bands of ratio 4/3, so partners are
 * In the scheme of a size band every shingle falls into one of m parts; the XOR of a part's shingle hashes is a key.
   Of m parts at most d = (largest size) / 3 differ, so a set with more than d filled parts shares a filled part with
   each partner. The rare set with fewer adds keys for its smallest quarter of shingles, by which two such sets meet.
-* Nodes with a common key are candidates. Small groups give their pairs. Of a large group the sketches meet, in blocks:
-  first each node with the group's leader, for a share of the groups; then, when those links have been verified and
-  merged, all pairs from different components whose sketches are near enough. Nodes in fewer large groups than they
-  must share with a partner are left out: that clears passages which many documents share.
+* Nodes with a common key are candidates. Small groups give their pairs. In large groups members meet a leader first:
+  each node that of the few groups which it chooses by hash (nodes of a family choose alike), then, when those links have
+  been verified and merged, one from the largest component of other such groups. What is left, members of one group that
+  lie in different components, meets in blocks on the sketches; a pair that chose a group in common is told there only.
+  Nodes in fewer large groups than they must share with a partner are left out: that clears passages which many
+  documents share.
 * Candidates are verified on the shingle sets; components come from the links.
 
 Keys travel as packed arrays by bucket, sketches only where groups are large, shingle sets only for candidates.
@@ -20,23 +22,21 @@ Keys travel as packed arrays by bucket, sketches only where groups are large, sh
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.arrowtext import Block, blocks, map_blocks, mix, windows
-from roadloom.session import ship
-from roadloom.plans.components import components
-from roadloom.llm.shared import saved
+from roadloom.plans.components import extended
+from roadloom.session import saved, ship
 
 SHINGLE, LEAST, MOST = 5, 75, 100  # links from LEAST / MOST
-#: Nodes of a group that gives its pairs at once; nodes in a block of a larger group; one group in LEAD_EVERY leads.
-SMALL, CLOSE, LEAD_EVERY = 16, 2048, 8
-#: Groups with the same smallest node hold much the same nodes; they meet in so many tasks, which know what they told.
-LOTS = 16
+#: Nodes of a group that gives its pairs at once; nodes in a block of a larger group.
+SMALL, CLOSE = 16, 2048
+#: Large groups that a node chooses by hash, and those of them whose leaders it meets first.
+CHOSEN, FIRST = 8, 3
 #: Keys that a task packs before it hands them on.
 FLUSH = 1 << 19
 #: Bits of the filter for the nodes whose sets are needed: its size is fixed, a crowded filter only passes more.
@@ -207,9 +207,8 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def group_rows(packed: DataFrame) -> DataFrame:
-    """a, b, grp, blk, low, need: pairs of small groups (grp null), and memberships of large ones (b null): the group's
-    key, the pair of blocks to meet in (0 for groups of one block), the group's smallest node, and how many keys the
-    member shares with any partner."""
+    """a, b, grp, blk, need: pairs of small groups (grp null), and memberships of large ones (b null): the group's key, the
+    pair of blocks to meet in (0 for groups of one block), and how many keys the member shares with any partner."""
 
     def groups(parts: list[tuple[bytes, bytes, bytes, bytes]], bucket: int) -> pa.RecordBatch:
         key = np.zeros((sum(len(p[0]) for p in parts) // 6, 8), np.uint8)
@@ -238,7 +237,6 @@ def group_rows(packed: DataFrame) -> DataFrame:
             a.append(node[at])
             b.append(node[at + step])
         pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
-        low = np.repeat(node[cut[:-1]], np.diff(cut)) if len(key) else node
         many = np.flatnonzero(size > SMALL)
         count = -(-size[many] // CLOSE)
         own = (mix(node[many].view(np.uint64)) % count.astype(np.uint64)).astype(np.int64)
@@ -250,7 +248,6 @@ def group_rows(packed: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({
             "a": np.concatenate([pairs[:, 0], node[many][rep]]), "b": pa.array([*pairs[:, 1].tolist(), *[None] * m], pa.int64()),
             "grp": pa.array([*[None] * n, *name[rep].tolist()], pa.int64()), "blk": pa.array([*[None] * n, *(x * 1_000_000 + y).tolist()], pa.int64()),
-            "low": pa.array([*[None] * n, *low[many][rep].tolist()], pa.int64()),
             "need": pa.array([*[None] * n, *need[many][rep].tolist()], pa.int64()),
         })
 
@@ -266,11 +263,11 @@ def group_rows(packed: DataFrame) -> DataFrame:
         if parts:
             yield groups(parts, at)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, grp long, blk long, low long, need long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, grp long, blk long, need long")
 
 
 def near(x: list, y: list) -> np.ndarray:
-    """Pairs (i, j) of rows (node, n, sketch, component) of two lists, of different components, whose sizes and
+    """Pairs (i, j) of rows (node, n, sketch, component, ...) of two lists, of different components, whose sizes and
     sketches allow a link."""
     out, band = [], lambda n: int(band_of(np.array([n]))[0])
     by: dict[int, tuple[list[int], list[int]]] = {}
@@ -296,48 +293,57 @@ def near(x: list, y: list) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def sketch_pairs(members: DataFrame, nodes: DataFrame, leaders: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (grp, blk, low, node, comp); nodes: node, n, sketch. leaders: only pairs with each group's
-    leader; else all near pairs of different components."""
+def choices(members: DataFrame) -> DataFrame:
+    """node, chosen: of the groups of each node (grp, node) those with the least hashes, one for each of CHOSEN seeds."""
+    least = (F.min(F.struct(F.xxhash64("grp", F.lit(i)).alias("h"), "grp"))["grp"] for i in range(CHOSEN))
+    return members.groupBy("node").agg(F.array(*least).alias("chosen"))
+
+
+def leader_pairs(lead: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes and the leaders of their groups; lead: grp, node, comp. The leader is a member of the group's
+    largest component (of equal ones another in each group), whose members have nothing to tell it."""
+    best = lead.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("node"))
+    top = saved(best.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("comp", "grp").alias("h"), "comp", "node")).alias("top")).select("grp", F.col("top.comp").alias("_comp"), F.col("top.node").alias("_node")))
+    pairs = lead.join(top, "grp").where("comp <> _comp").select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
+    return pairs.distinct()
+
+
+def sketch_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): all near members (grp, blk, node, comp) of a group from different components; nodes: node, n,
+    sketch, chosen. Pairs are told in one of the groups that both chose, if there is one."""
 
     def block_pairs(grp: int, rows: list[tuple]) -> np.ndarray:
         rows = list({r[0]: r for r in rows}.values())
-        x = y = rows
-        if leaders:  # another one in each group, whatever the nodes are
-            order = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64) ^ np.array([grp], np.int64).view(np.uint64))
-            x = [rows[int(order.argmin())]]
-        at = near(x, y)
-        node_x, node_y = np.array([r[0] for r in x]), np.array([r[0] for r in y])
-        got = np.column_stack([node_x[at[:, 0]], node_y[at[:, 1]]]) if len(at) else np.zeros((0, 2), np.int64)
-        got = np.sort(got, 1)
+        at = near(rows, rows)
+        if not len(at):
+            return np.zeros((0, 2), np.int64)
+        node, chosen = np.array([r[0] for r in rows]), np.array([r[4] for r in rows], np.int64)
+        both = chosen[at[:, 0]] == chosen[at[:, 1]]
+        here = np.where(both.any(1), chosen[at[:, 0], both.argmax(1)] == grp, True)
+        got = np.sort(node[at[here]], 1)
         return np.unique(got[got[:, 0] != got[:, 1]], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at, seen = [], None, set()
+        rows, at = [], None
 
-        def out() -> pa.RecordBatch | None:
-            fresh = [p for p in map(tuple, block_pairs(at[0], rows).tolist()) if p not in seen]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in (0, 1)], names=["a", "b"]) if fresh else None
+        def out() -> pa.RecordBatch:
+            got = block_pairs(at[0], rows)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for grp, blk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, blk) != at and rows:
-                    if (b := out()) is not None:
-                        yield b
+                    yield out()
                     rows = []
                 at = grp, blk
                 rows.append(tuple(row))
-        if rows and (b := out()) is not None:
-            yield b
+        if rows:
+            yield out()
 
     # Groups that lie in one component have nothing to tell; sketches join the rest only.
     mixed = members.groupBy("grp", "blk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp", "blk")
-    members = members.join(mixed, ["grp", "blk"]).join(nodes, "node")
-    placed = members.repartition("low", F.pmod("grp", F.lit(LOTS)), "blk").sortWithinPartitions("grp", "blk")
-    return placed.select("grp", "blk", "node", "n", "sketch", "comp").mapInArrow(run, "a long, b long").distinct()
+    placed = members.join(mixed, ["grp", "blk"]).join(nodes, "node").repartition("grp", "blk").sortWithinPartitions("grp", "blk")
+    return placed.select("grp", "blk", "node", "n", "sketch", "comp", "chosen").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -358,10 +364,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sets link. docs: doc_id, text; nodes: node, rep (a document with that set)."""
-    pairs = saved(pairs)
-    if pairs.isEmpty():
-        return pairs
+    """The (saved) pairs whose sets link. docs: doc_id, text; nodes: node, rep (a document with that set)."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     need = saved(nodes.join(ends, "node").select("node", F.col("rep").alias("_rep")))
     spots = need.select(F.pmod(F.xxhash64("_rep"), F.lit(BLOOM_BITS)).alias("spot")).distinct()
@@ -372,9 +375,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             held[b.column(0).to_numpy()] = True
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(held).tobytes()]})
 
-    maps = [r[0] for r in spots.coalesce(4).mapInArrow(bits, "bits binary").collect()]  # 2 MB each, four at most
-    held = np.unpackbits(reduce(np.bitwise_or, (np.frombuffer(m, np.uint8) for m in maps), np.zeros(BLOOM_BITS // 8, np.uint8)))
-    filter_bits = np.packbits(held)
+    filter_bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in spots.coalesce(4).mapInArrow(bits, "bits binary").collect():  # 2 MB each, four at most
+        filter_bits |= np.frombuffer(r[0], np.uint8)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,24 +420,35 @@ def parity_join(docs: DataFrame) -> DataFrame:
     nodes = saved(every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = saved(group_rows(packed_keys(named, buckets)))
-    large = groups.where("b is null").select("grp", "blk", "low", F.col("a").alias("node"), "need")
+    large = groups.where("b is null").select("grp", "blk", F.col("a").alias("node"), "need")
     # Partners that meet in no small group share all their keys in large ones, so a node needs as many of those.
     able = large.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("node")
     members = saved(large.drop("need").join(able, "node"))
-    lead = members.where(F.pmod("grp", F.lit(LEAD_EVERY)) == 0).withColumn("comp", F.monotonically_increasing_id())
-    small = near_pairs(groups.where("b is not null").select("a", "b").distinct(), nodes)
-    first = saved(small.union(sketch_pairs(lead, nodes, True)).distinct())
-    links = verified(first, named, nodes)
-    for leaders in (True, False):  # once more with leaders, of all groups; then whatever is left
-        roots = saved(components(links))
-        labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        more = saved(sketch_pairs(labelled, nodes, leaders).join(first, ["a", "b"], "left_anti"))
-        first = first.union(more)
-        links = links.union(verified(more, named, nodes))
-    roots = saved(components(links))
-    classes = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named_class = classes.join(least, "root").select("node", "component_id")
+    chosen = saved(nodes.join(choices(members), "node").select("node", "n", "sketch", "chosen"))
+
+    def lead(part: Column) -> DataFrame:
+        return chosen.select("node", F.explode(F.array_distinct(part)).alias("grp"))
+
+    def met(pairs: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        return pairs, extended(roots, verified(pairs, named, nodes))
+
+    small = groups.where("b is not null").select("a", "b").distinct()
+    first = leader_pairs(lead(F.slice("chosen", 1, FIRST)).withColumn("comp", F.col("node")))
+    told, roots = met(saved(near_pairs(small.union(first).distinct(), nodes)), None)
+    for step in ("leaders", "rest"):
+        merged = lambda rows, roots=roots: rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        if step == "leaders":
+            more = near_pairs(leader_pairs(merged(lead(F.slice("chosen", FIRST + 1, CHOSEN)))), nodes)
+        else:
+            more = sketch_pairs(merged(members), chosen)
+        more = saved(more.join(told, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            more, roots = met(more, roots)
+            told = told.union(more)
+    linked = nodes.join(roots, "node").select("node", "rep", "root")
+    least = saved(linked.groupBy("root").agg(F.min("rep").alias("least")))
+    of = linked.join(least, "root").select("node", "least")
+    named_class = nodes.select("node", "rep").join(of, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     out = every.select("doc_id", "node", "n").join(named_class, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
