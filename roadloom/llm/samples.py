@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Labels that a classifier may tell apart.
+MOST_LABELS = 2000
+
 
 def remainder(id_col: str, parts: int):
     """crc32 of the id as text, modulo the number of folds; null ids are in fold 0."""
@@ -16,14 +19,18 @@ def remainder(id_col: str, parts: int):
 
 
 def pick(rows: DataFrame, label: str, n: int, least: int = 20) -> DataFrame:
-    """At most n rows (doc_id, label), every label with about the same number where it has enough.
+    """At most n rows (doc_id, label), every label with about the same number where it has enough; where n does not give
+    `least` rows to each label, n grows until it does.
 
-    One small aggregate counts the rows of each label; a threshold on the id's hash then thins the large labels, and
-    an ordered limit holds the bound.
+    One small aggregate counts the rows of each label (labels are languages or classes, MOST_LABELS at most); a threshold
+    on the id's hash then thins the large labels, and an ordered limit holds the bound.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(n // least).collect() if r[0] is not None}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MOST_LABELS + 2).collect() if r[0] is not None}
     if not counts:
         return rows.select("doc_id", label).limit(0)
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    n = max(n, least * len(counts))
     share = n / len(counts)
     u = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
     part = F.lit(0.0)

@@ -2,13 +2,16 @@
 
 A word enters as its own (hashed) embedding beside the mean embedding of its character n-grams and of its openings,
 so unseen compounds of known parts still say something. Very long words (texts without spaces are one) enter as
-overlapping pieces, each as a word, so every byte is read. The network reads windows of WINDOW words that overlap by half, attention pools
-the states of a window to one logit, and the document takes its highest window; two numbers fitted at the end turn
-that logit into a probability.
+overlapping pieces, each as a word, so every byte is read. The network reads windows of WINDOW words that overlap by half,
+attention pools the states of a window to one logit, and the document takes its highest window, in training as in
+scoring. Two numbers turn that logit into a probability; they are fitted on documents that the network which scored them
+had not seen, so they don't trust a network that knows its training set by heart.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +26,11 @@ WORD_ROWS, GRAM_ROWS, OPENING_ROWS, WIDTH, HIDDEN = 1 << 15, 1 << 14, 1 << 16, 6
 GRAMS, OPENINGS = (3, 4), (4, 5, 6, 7)
 #: Longest word in bytes, and bytes that neighbouring pieces of a longer one share.
 PIECE, OVERLAP = 48, max(OPENINGS)
-#: The most labelled documents in training, and the windows taken (evenly) from each of them.
-SAMPLE, SAMPLE_WINDOWS = 4000, 12
+#: The most labelled documents in training (whole texts), and the parts whose scores the rest predicts for calibration.
+SAMPLE, FOLDS = 4000, 3
 EPOCHS, BATCH, RATE = 5, 48, 0.06
+#: Windows, and documents, that are worked on at once.
+CHUNK, CHUNK_DOCS = 4096, 256
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -34,9 +39,11 @@ def bare_words(block: Block) -> Words:
     """Words without the punctuation at their ends (one byte stays)."""
     w = block.words()
     start, end = w.start.copy(), w.end.copy()
-    for _ in range(4):
-        start += (end - start > 1) & _PUNCT[block.data[start]] if len(start) else 0
-        end -= (end - start > 1) & _PUNCT[block.data[end - 1]] if len(end) else 0
+    left = np.arange(len(start))  # words that may have more
+    while len(left):
+        start[left] += (end[left] - start[left] > 1) & _PUNCT[block.data[start[left]]]
+        end[left] -= (end[left] - start[left] > 1) & _PUNCT[block.data[end[left] - 1]]
+        left = left[(end[left] - start[left] > 1) & (_PUNCT[block.data[start[left]]] | _PUNCT[block.data[end[left] - 1]])]
     return Words(start, end, w.ptr)
 
 
@@ -97,9 +104,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters in float32; ``embed`` gives inputs of distinct words, ``logits`` runs windows of their numbers."""
+    """Parameters in float32; ``embed`` gives inputs of distinct words, ``logits`` runs windows of their numbers. Not
+    recurrent: every step starts from nothing, so a window is a bag of words (to compare with)."""
 
-    def __init__(self, seed: int = 0):
+    def __init__(self, seed: int = 0, recurrent: bool = True):
+        self.recurrent = recurrent
         rng = np.random.default_rng(seed)
         small = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         d, h = 3 * WIDTH, HIDDEN
@@ -123,6 +132,7 @@ class Network:
         h = np.zeros((at.shape[0], h_n), np.float32)
         out = np.empty((at.shape[1], at.shape[0], h_n), np.float32)
         for t in range(at.shape[1]) if side == "f" else range(at.shape[1] - 1, -1, -1):
+            h = h if self.recurrent else np.zeros_like(h)
             g, gh, m = gx[at[:, t]], h @ u, mask[:, t, None]
             zr = sigmoid(g[:, : 2 * h_n] + gh[:, : 2 * h_n])
             z, r = zr[:, :h_n], zr[:, h_n:]
@@ -171,7 +181,7 @@ class Network:
                 gates = np.hstack([dz, dr, dn])
                 inner = np.hstack([dz, dr, dn * r])
                 gu += h.T @ inner
-                carry = up * (1 - m) + own * z + inner @ u.T
+                carry = up * (1 - m) + own * z + inner @ u.T if self.recurrent else np.zeros_like(carry)
                 xt = keep["x"][keep["at"][:, t]]
                 gw += xt.T @ gates
                 gc += gates.sum(0)
@@ -194,8 +204,8 @@ class Network:
         doc, start = window_starts(np.diff(words.ptr))
         pos = (words.ptr[doc] + start)[:, None] + np.arange(WINDOW)
         mask = (pos < words.ptr[doc + 1][:, None]).astype(np.float32)
-        x = self.embed(*inputs)
-        return doc, self.logits(x, number[np.minimum(pos, len(number) - 1)], mask)
+        x, at = self.embed(*inputs), number[np.minimum(pos, len(number) - 1)]
+        return doc, np.concatenate([self.logits(x, at[i : i + CHUNK], mask[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
 
     def scores(self, block: Block) -> np.ndarray:
         """Probability for each document; one without words gets the share of toxic documents in training."""
@@ -210,65 +220,111 @@ def block_of(texts: list[bytes]) -> Block:
     return Block(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), None)
 
 
-def train(docs: list[tuple[bytes, int]], share: float, seed: int = 0) -> Network:
-    """docs: (windows of WINDOW words or pieces, bare and one a line, label). share: of label 1 among all labelled rows."""
-    net, rng = Network(seed), np.random.default_rng(seed)
-    lines = [line for text, _ in docs for line in text.split(b"\n")]
-    of = np.repeat(np.arange(len(docs)), [text.count(b"\n") + 1 for text, _ in docs])
-    y = np.array([label for _, label in docs], float)
-    block = block_of(lines)
-    words = block.words()
-    number, row, grams, openings = rows_of(block, words)
-    pos = words.ptr[:-1, None] + np.arange(WINDOW)
-    mask = (pos < words.ptr[1:, None]).astype(np.float32)
-    at = number[np.minimum(pos, max(len(number) - 1, 0))]
-    # Start: the first entry of each embedding says how much more often label-1 documents hold the word or part.
-    pair = np.unique(number * len(docs) + of[words.doc])
-    word, doc = pair // len(docs), pair % len(docs)
-    for name, rows_n, key, owner in (("word", WORD_ROWS, row[word], doc), ("gram", GRAM_ROWS, *_spread(grams, word, doc)), ("open", OPENING_ROWS, openings[word].ravel(), np.repeat(doc, len(OPENINGS)))):
-        held = np.unique(owner * rows_n + key)
-        hit = [np.bincount(held[y[held // rows_n] == v] % rows_n, minlength=rows_n) for v in (0, 1)]
-        odds = np.log((hit[1] + 0.5) / (y.sum() + 1)) - np.log((hit[0] + 0.5) / ((1 - y).sum() + 1))
-        net.p[name] *= 0.1
-        net.p[name][:, 0] = np.clip(odds, -4, 4) * (hit[0] + hit[1] > 2)
-    first = np.searchsorted(of, np.arange(len(docs) + 1))
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for cut in range(0, len(order), BATCH):
-            own = order[cut : cut + BATCH]
-            wins = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
-            x, local, _ = _part(net, at[wins], row, grams, openings)
-            z = net.logits(x, local, mask[wins])
-            owner = np.repeat(np.arange(len(own)), [first[i + 1] - first[i] for i in own])
-            best = wins[np.lexsort((-z, owner))[np.searchsorted(owner, np.arange(len(own)))]]
-            x, local, (w_row, (w_gram, w_bounds), w_open) = _part(net, at[best], row, grams, openings)
-            keep: dict = {}
-            z = net.logits(x, local, mask[best], keep)
-            g, dx = net.backward(keep, ((sigmoid(z) - y[own]) / len(own)).astype(np.float32))
-            for name, grad in g.items():
-                net.step(name, grad)
-            dw, dg, do = dx[:, :WIDTH], dx[:, WIDTH : 2 * WIDTH], dx[:, 2 * WIDTH :]
-            n = np.diff(w_bounds)
-            for name, index, grad in (("word", w_row, dw), ("gram", w_gram, np.repeat(dg / n[:, None], n, 0)), ("open", w_open.ravel(), np.repeat(do / len(OPENINGS), len(OPENINGS), 0))):
-                rows, back = np.unique(index, return_inverse=True)
-                total = np.zeros((len(rows), WIDTH), np.float32)
-                np.add.at(total, back, grad)
-                net.step(name, total, rows)
-    # Scale and shift by weighted logistic regression at the true share of label 1.
-    z = np.concatenate([net.logits(*_part(net, at[i : i + 2000], row, grams, openings)[:2], mask[i : i + 2000]) for i in range(0, len(at), 2000)])
-    best = np.full(len(docs), -np.inf)
-    np.maximum.at(best, of, z)
+class Sample:
+    """Training texts (their words or pieces, bare, with single spaces between) as numbers of distinct words."""
+
+    def __init__(self, texts: list[bytes], labels: list[int]):
+        self.y = np.array(labels, float)
+        block = block_of(texts)
+        words = block.words()
+        self.number, self.row, self.grams, self.openings = rows_of(block, words)
+        self.number, self.ptr = self.number.astype(np.int32), words.ptr
+        self.of, start = window_starts(np.diff(words.ptr))
+        self.start = words.ptr[self.of] + start
+        self.first = np.searchsorted(self.of, np.arange(len(texts) + 1))
+
+    def windows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, mask) of some windows."""
+        pos = self.start[own, None] + np.arange(WINDOW)
+        return self.number[np.minimum(pos, len(self.number) - 1)], (pos < self.ptr[self.of[own] + 1, None]).astype(np.float32)
+
+    def logits(self, net: Network, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best window, its logit) of documents."""
+        wins = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in docs])
+        owner = np.repeat(np.arange(len(docs)), [self.first[i + 1] - self.first[i] for i in docs])
+        z = np.empty(len(wins))
+        for i in range(0, len(wins), CHUNK):
+            at, mask = self.windows(wins[i : i + CHUNK])
+            x, local, _ = _part(net, at, self.row, self.grams, self.openings)
+            z[i : i + CHUNK] = net.logits(x, local, mask)
+        best = np.lexsort((-z, owner))[np.searchsorted(owner, np.arange(len(docs)))]
+        return wins[best], z[best]
+
+    def log_odds(self, docs: np.ndarray) -> dict[str, np.ndarray]:
+        """For each embedding row how much more often label-1 documents hold its word or part; 0 below three documents."""
+        y, sizes = self.y[docs], {"word": WORD_ROWS, "gram": GRAM_ROWS, "open": OPENING_ROWS}
+        hit = {k: np.zeros((2, n)) for k, n in sizes.items()}
+        for cut in range(0, len(docs), CHUNK_DOCS):
+            own = docs[cut : cut + CHUNK_DOCS]
+            held = [np.unique(self.number[self.ptr[i] : self.ptr[i + 1]]) for i in own]
+            word, doc = np.concatenate(held), np.repeat(np.arange(len(own)), [*map(len, held)])
+            for name, key, owner in (("word", self.row[word], doc), ("gram", *_spread(self.grams, word, doc)), ("open", self.openings[word].ravel(), np.repeat(doc, len(OPENINGS)))):
+                pair = np.unique(owner * sizes[name] + key)
+                for v in (0, 1):
+                    hit[name][v] += np.bincount(pair[self.y[own][pair // sizes[name]] == v] % sizes[name], minlength=sizes[name])
+        odds = lambda h: np.log((h[1] + 0.5) / (y.sum() + 1)) - np.log((h[0] + 0.5) / ((1 - y).sum() + 1))
+        return {k: np.clip(odds(h), -4, 4) * (h.sum(0) > 2) for k, h in hit.items()}
+
+    def trained(self, docs: np.ndarray, seed: int, recurrent: bool) -> Network:
+        net, rng = Network(seed, recurrent), np.random.default_rng(seed)
+        for name, odds in self.log_odds(docs).items():
+            net.p[name] *= 0.1
+            net.p[name][:, 0] = odds
+        for _ in range(EPOCHS):
+            order = docs[rng.permutation(len(docs))]
+            for cut in range(0, len(order), BATCH):
+                own = order[cut : cut + BATCH]
+                at, mask = self.windows(self.logits(net, own)[0])
+                x, local, (w_row, (w_gram, w_bounds), w_open) = _part(net, at, self.row, self.grams, self.openings)
+                keep: dict = {}
+                z = net.logits(x, local, mask, keep)
+                g, dx = net.backward(keep, ((sigmoid(z) - self.y[own]) / len(own)).astype(np.float32))
+                for name, grad in g.items():
+                    net.step(name, grad)
+                dw, dg, do = dx[:, :WIDTH], dx[:, WIDTH : 2 * WIDTH], dx[:, 2 * WIDTH :]
+                n = np.diff(w_bounds)
+                for name, index, grad in (("word", w_row, dw), ("gram", w_gram, np.repeat(dg / n[:, None], n, 0)), ("open", w_open.ravel(), np.repeat(do / len(OPENINGS), len(OPENINGS), 0))):
+                    rows, back = np.unique(index, return_inverse=True)
+                    total = np.zeros((len(rows), WIDTH), np.float32)
+                    np.add.at(total, back, grad)
+                    net.step(name, total, rows)
+        net.seen = {}  # Adagrad's sums are not needed any more
+        return net
+
+
+def part_of_training(docs: list[tuple[bytes, int]], k: int, seed: int = 0, recurrent: bool = True) -> Network | np.ndarray:
+    """k = FOLDS: the network trained on all documents; else the logits of fold k (every FOLDS-th document from k) by a
+    network trained on the others, zeros if those have one label only."""
+    sample, every = Sample([t for t, _ in docs], [label for _, label in docs]), np.arange(len(docs))
+    if k == FOLDS:
+        return sample.trained(every, seed, recurrent)
+    own, rest = every[every % FOLDS == k], every[every % FOLDS != k]
+    if not len(own) or len(set(sample.y[rest].tolist())) < 2:
+        return np.zeros(len(own))
+    return sample.logits(sample.trained(rest, seed, recurrent), own)[1]
+
+
+def calibrated(net: Network, folds: list[np.ndarray], y: np.ndarray, share: float) -> Network:
+    """The network with scale and shift by logistic regression on the folds' logits, weighted to the true share of label 1."""
+    best = np.zeros(len(y))
+    for k, z in enumerate(folds):
+        best[k::FOLDS] = z
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     a, b = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(300):
-        err = weight * (sigmoid(a * best + b) - target)
+        err = weight * (sigmoid(a * best + b) - y)
         a -= 0.05 * (err * best).mean() / max((best * best).mean(), 1e-6) * 10
         b -= 0.5 * err.mean()
     net.scale, net.shift, net.prior = max(float(a), 0.05), float(b), share
     return net
 
 
+def train(docs: list[tuple[bytes, int]], share: float, seed: int = 0, recurrent: bool = True) -> Network:
+    """docs: (a text's words or pieces, bare, with single spaces between; label). share: of label 1 among all labelled rows."""
+    folds = [part_of_training(docs, k, seed, recurrent) for k in range(FOLDS)]
+    return calibrated(part_of_training(docs, FOLDS, seed, recurrent), folds, np.array([y for _, y in docs], float), share)
+
+
 def _spread(grams: tuple[np.ndarray, np.ndarray], word: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram rows of some words, one after the other, and for each the word's tag."""
     flat, bounds = grams
@@ -285,28 +341,38 @@ def _part(net: Network, at: np.ndarray, row: np.ndarray, grams: tuple[np.ndarray
     return net.embed(*own), local.reshape(at.shape), own
 
 
-def sampled_windows(block: Block) -> list[bytes]:
-    """At most SAMPLE_WINDOWS windows of each document, evenly over all of it, one a line."""
-    words, raw, out = pieces(bare_words(block)), block.data.tobytes(), []
-    for d in range(len(block)):
-        a, b = words.ptr[d], words.ptr[d + 1]
-        starts = window_starts(np.array([b - a]))[1]
-        if len(starts) > SAMPLE_WINDOWS:
-            starts = starts[np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int)]
-        out.append(b"\n".join(b" ".join(raw[words.start[i] : words.end[i]] for i in range(a + s, min(a + s + WINDOW, b))) for s in starts))
-    return out
+def bare_texts(block: Block) -> list[bytes]:
+    """The words (or pieces) of each document that the network reads, with single spaces between."""
+    words, raw = pieces(bare_words(block)), block.data.tobytes()
+    at = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+    return [b" ".join(at[a:b]) for a, b in zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """docs: doc_id, text. labels: doc_id, label of the rows that may be learnt from. None without both labels."""
+    """docs: doc_id, text. labels: doc_id, label of the rows that may be learnt from. None without both labels. Of rows that
+    repeat an id the least text counts."""
     labelled = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = labelled.agg(F.avg("label")).first()[0]
     chosen = pick(labelled, "label", sample)
     rows = docs.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    encode = lambda block: {"doc_id": block.column("doc_id"), "label": block.column("label"), "x": pa.array(sampled_windows(block), pa.binary())}
-    got = sorted(map_blocks(rows, ["doc_id", "text", "label"], encode, "doc_id long, label int, x binary").limit(2 * sample).collect())
+    encode = lambda block: {"doc_id": block.column("doc_id"), "label": block.column("label"), "x": pa.array(bare_texts(block), pa.binary())}
+    found = map_blocks(rows, ["doc_id", "text", "label"], encode, "doc_id long, label int, x binary")
+    got = sorted(found.groupBy("doc_id", "label").agg(F.min("x")).collect())  # at most `sample` rows
     pairs = [(bytes(r[2]), r[1]) for r in got if r[2]]
-    return train(pairs, float(share)) if len({y for _, y in pairs}) == 2 else None
+    if len({y for _, y in pairs}) < 2:
+        return None
+    # The network and those of the folds are trained side by side in tasks, not on the driver.
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(pairs)
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(part=[pickle.dumps(part_of_training(held.value, k)) for k in f["id"].tolist()])
+
+    parts = dict(spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, "id long, part binary").collect())  # a network of 3 MB, and logits
+    *folds, net = (pickle.loads(parts[k]) for k in range(FOLDS + 1))
+    held.destroy()
+    return calibrated(net, folds, np.array([y for _, y in pairs], float), float(share))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
@@ -315,12 +381,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
     labels holds doc_id and label (0 or 1) of the rows to learn from; null ids or labels are passed over, of several
     labels the largest counts. A text without words, or null, gets the share of label 1 (0.29 at most). Without both
     labels every score is 0. Repeated rows and null ids keep a row each; an empty table gives no rows. Scoring is
-    narrow; the network (about 1.5 MB) goes out with the task.
+    narrow; the network (3 MB) goes out with the task.
     """
     named = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     net = fit(named, labels.selectExpr("cast(doc_id as bigint) as doc_id", "cast(label as int) as label"), sample)
-    if net:
-        net.seen = {}
 
     def rows(block: Block):
         score = net.scores(block).astype(float) if net else np.zeros(len(block))
