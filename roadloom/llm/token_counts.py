@@ -3,13 +3,15 @@
 The last token of a byte-pair encoding is fixed by the prefix that it ends: an encoding of ``p + t`` is the encoding
 of ``p`` followed by ``t`` exactly if the last token of ``p`` and ``t`` form a stable pair. So one pass over a
 pre-token gives, for every prefix, its last token and its exact token count, and truncation or budget questions are
-answered from the stored counts without encoding again. Pre-tokens recur, so their prefix tables are memoised in a
-bounded cache.
+answered from the stored counts without encoding again. Pre-tokens recur, so their prefix tables are kept in a bounded
+cache; a text's count is the sum of its tables' last entries, and its cut at a budget lies in the table where the sum
+passes the budget.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from functools import cache
 
 import pyarrow as pa
@@ -18,7 +20,9 @@ from pyspark.sql import DataFrame
 
 from roadloom.llm.arrowtext import Block, map_blocks, texts
 
-CACHE = 300_000
+#: Pre-tokens, and prefixes of them, in a generation of the cache.
+CACHE, ENTRIES = 300_000, 4_000_000
+Table = bytes | array
 NEVER = 1 << 60
 LIMIT = 1024
 
@@ -50,25 +54,26 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
-        vocab = self.vocab
 
-        class Totals(dict):
-            """Counts by pre-token in two generations: when the young one is full it becomes the old one."""
+        class Tables(dict):
+            """Prefix counts by pre-token in two generations: when the young one is full it becomes the old one."""
 
-            old: dict[str, int] = {}
+            old: dict[str, Table] = {}
+            entries = 0
 
-            def __missing__(totals, piece: str) -> int:
-                if len(totals) >= CACHE:
-                    totals.old = dict(totals)
-                    totals.clear()
-                n = totals.old.get(piece)
-                if n is None:
-                    data = piece.encode("utf-8", "surrogatepass")
-                    n = 1 if data in vocab and self.reached(data) else self.prefixes(data)[-1]
-                totals[piece] = n
-                return n
+            def __missing__(tables, piece: str) -> Table:
+                if len(tables) >= CACHE or tables.entries >= ENTRIES:
+                    tables.old, tables.entries = dict(tables), 0
+                    tables.clear()
+                table = tables.old.get(piece)
+                if table is None:
+                    table = self.prefixes(piece.encode("utf-8", "surrogatepass"))
+                    table = bytes(table) if len(table) <= 256 else array("i", table)  # a count is at most the length
+                tables.entries += len(table)
+                tables[piece] = table
+                return table
 
-        self.totals = Totals()
+        self.tables = Tables()
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain merging by rank, for single tokens."""
@@ -157,33 +162,40 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def count(self, text: str) -> int:
-        total, get = 0, self.totals.__getitem__
+    def read(self, text: str) -> list[Table]:
+        """The prefix tables of the text's pre-tokens, in order; of a special token only the whole counts."""
+        out, get = [], self.tables.__getitem__
         for piece, special in self.parts(text):
-            total += 1 if special else sum(map(get, self.find(piece)))
-        return total
+            out += [bytes([0, *[1] * len(piece.encode("utf-8", "surrogatepass"))])] if special else map(get, self.find(piece))
+        return out
+
+    def count(self, text: str) -> int:
+        return sum([t[-1] for t in self.read(text)])
 
     def table(self, text: str) -> list[int]:
-        """For every UTF-8 prefix length of the text, the tokens whose encoding of the whole text ends within it, and
-        inside a pre-token the exact count of the part so far: monotone between pre-token bounds, exact at them."""
+        """For every UTF-8 prefix length of the text, the tokens of the pre-tokens before it and the exact count of the part
+        of its own pre-token."""
         out = [0]
-        for piece, special in self.parts(text):
-            for pre in [piece] if special else self.find(piece):
-                data, base = pre.encode("utf-8", "surrogatepass"), out[-1]
-                out += [base + 1] * len(data) if special else [base + c for c in self.prefixes(data)[1:]]
+        for t in self.read(text):
+            base = out[-1]
+            out += [base + c for c in t[1:]]
         return out
 
-    def fits(self, text: str, budget: int) -> int:
-        """The longest UTF-8 prefix length, at a pre-token bound, whose tokens stay within the budget."""
+    @staticmethod
+    def fit(tables: list[Table], budget: int) -> int:
+        """The longest prefix length, in bytes, whose count stays within the budget: the pre-tokens before the one where the
+        sum passes it, and of that one the longest part that fits."""
         at = used = 0
-        for piece, special in self.parts(text):
-            for pre in [piece] if special else self.find(piece):
-                used += 1 if special else self.totals[pre]
-                if used > budget:
-                    return at
-                at += len(pre.encode("utf-8", "surrogatepass"))
+        for t in tables:
+            if used + t[-1] > budget:
+                return at + max(i for i, c in enumerate(t) if used + c <= budget)
+            used += t[-1]
+            at += len(t) - 1
         return at
 
+    def fits(self, text: str, budget: int) -> int:
+        return self.fit(self.read(text), budget)
+
 
 @cache
 def counter(path: str, pattern: str) -> PrefixCounter:
@@ -191,17 +203,19 @@ def counter(path: str, pattern: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, n_fit (bytes of the longest pre-token prefix within the limit).
+    """doc_id, n_bytes, n_tokens, over_limit, n_fit (bytes of the longest prefix whose stored count is within the limit; it
+    may end inside a character, whose tokens are bytes then).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep a row each. An empty table gives
     no rows. Narrow: one pass, no shuffle.
     """
 
     def rows(block: Block, c: PrefixCounter):
-        found = texts(block)
-        n = [c.count(t) for t in found]
-        size = block.sizes()
-        fit = [int(b) if k <= limit else c.fits(t, limit) for t, k, b in zip(found, n, size, strict=True)]
+        n, fit, size = [], [], block.sizes()
+        for text, b in zip(texts(block), size.tolist(), strict=True):
+            tables = c.read(text)
+            n.append(sum([t[-1] for t in tables]))
+            fit.append(b if n[-1] <= limit else c.fit(tables, limit))
         return {"doc_id": block.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_()), "n_fit": pa.array(fit, pa.int64())}
 
     named = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
