@@ -143,12 +143,14 @@ class Additive:
 
 
 def fit(docs: DataFrame, train: DataFrame, sample: int = SAMPLE) -> Additive | None:
-    """docs: doc_id, text. train: doc_id, label of the rows that may be learnt from. None without both labels."""
+    """docs: doc_id, text. train: doc_id, label of the rows that may be learnt from. None without both labels. Of rows that
+    repeat an id the least features count, so every run learns the same."""
     labelled = train.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = pick(labelled.withColumn("all", F.lit(1)), "all", sample).join(labelled, "doc_id").select("doc_id", "label")
     rows = docs.join(F.broadcast(chosen.limit(sample)), "doc_id")  # at most `sample` rows
     encode = lambda block: {"doc_id": block.column("doc_id"), "label": block.column("label"), "x": pa.array(features(block).tolist(), pa.list_(pa.float64()))}
-    got = sorted(map_blocks(rows, ["doc_id", "text", "label"], encode, "doc_id long, label int, x array<double>").limit(2 * sample).collect())
+    found = map_blocks(rows, ["doc_id", "text", "label"], encode, "doc_id long, label int, x array<double>")
+    got = sorted(found.groupBy("doc_id", "label").agg(F.min("x")).collect())  # at most `sample` rows
     y = np.array([r[1] for r in got], float)
     if len(set(y.tolist())) < 2:
         return None

@@ -27,7 +27,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk"),
 }
 DIMS = 4096
-#: The most labelled documents that the machines are fitted on.
+#: The most labelled documents that the machines are fitted on (more only if there are over 120 languages).
 SAMPLE = 2400
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -131,15 +131,18 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, train: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
-    """docs: doc_id, text. train: doc_id, lang of the rows that may be learnt from. None without any label."""
-    chosen = pick(train.where(F.col("lang").isNotNull()).dropDuplicates(["doc_id"]), "lang", sample)
+    """docs: doc_id, text. train: doc_id, lang of the rows that may be learnt from. None without any label. Of rows that
+    repeat an id the least language and the least vector count, so every run learns the same."""
+    labelled = train.where("doc_id is not null and lang is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = pick(labelled, "lang", sample)
     rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
 
     def encode(block: Block):
         x = vectors(block)
-        return {"lang": block.column("lang"), "x": pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())}
+        return {"doc_id": block.column("doc_id"), "lang": block.column("lang"), "x": pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())}
 
-    got = map_blocks(rows, ["text", "lang"], encode, "lang string, x binary").limit(2 * sample).collect()
+    found = map_blocks(rows, ["doc_id", "text", "lang"], encode, "doc_id long, lang string, x binary")
+    got = found.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("lang", "x").collect()  # a row a chosen document
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1]))
