@@ -1,22 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages of at most PASSAGE words, weighted by TF-IDF (document frequencies counted over
-the whole corpus), and a randomised singular value decomposition of the passage matrix, its products summed over the
-partitions, gives a latent space. Every document is read as overlapping windows of PASSAGE words; a window whose
-latent vector is near a passage's by cosine, and holds enough of its weight, is a candidate, and so is every place that
-shares a run of LEAST_WORDS words with a passage: of each passage all runs that few others have, and its rarest run
-however many have it, so no verbatim copy depends on the rank of the latent space. A candidate is confirmed
+the whole corpus, in one pass), and a randomised singular value decomposition of the passage matrix, its products
+summed over the partitions, gives a latent space. Every document is read as overlapping windows of PASSAGE words; a
+window whose latent vector is near a passage's by cosine, and holds enough of its weight, is a candidate, and so is every
+place that shares a run of LEAST_WORDS words with a passage: of each passage all runs that few others have, and its
+rarest run however many have it, so no verbatim copy depends on the rank of the latent space. A candidate is confirmed
 by the longest common subsequence of words around the window: as a copy from COPY of the passage's words in order, or
-as a paraphrase from PARAPHRASE of them if most of the passage's answer words (its rarest) are there too.
+as a paraphrase from PARAPHRASE of them if most of the passage's answer words (its rarest) are there too. Passages of
+fewer than LEAST_WORDS words are found verbatim only.
 
 Documents are only mapped, never shuffled; hits, without their texts, meet the items of their passage. Distinct
-passages go out in blocks of at most ITEMS, so what is broadcast has a bound; more passages mean more scans.
+passages go out in blocks of at most ITEMS, so what is broadcast has a bound; SCAN of them share a scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,16 @@ PASSAGE, STRIDE, LEAST_WORDS = 64, 32, 5
 RANK, EXTRA, POWER = 96, 16, 2
 COSINE, MASS, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.35, 0.25, 0.8, 0.5, 0.5, 6
 ITEMS = 2000
+SCAN = 4  # blocks of passages that one scan of the documents looks for
+FILTER_BITS = 1 << 24  # of the filter that keeps other words out of the counts
+HELD_WORDS = 1 << 20  # words that a task counts before it hands them on
 LOTS = 16  # tasks for the items of one passage
 SHARED = 8  # passages of a block that may have a run of words that is looked up for all of them
 _MAP = 20  # bits of the quick filter for words
 
 
 def item_passages(benchmark: DataFrame) -> DataFrame:
-    """item_id, body: lower-cased words of every passage, joined by spaces. Passages under LEAST_WORDS are passed over."""
+    """item_id, body: lower-cased words of every passage, joined by spaces. Items without a word have none."""
 
     def rows(block: Block):
         block = block.lowered()
@@ -48,7 +54,7 @@ def item_passages(benchmark: DataFrame) -> DataFrame:
             n = max(1, round(len(own) / PASSAGE + 0.25)) if len(own) > PASSAGE else 1
             for part in range(n):
                 piece = own[len(own) * part // n : len(own) * (part + 1) // n]
-                if len(piece) >= LEAST_WORDS:
+                if piece:
                     out[0].append(ids[d])
                     out[1].append(b" ".join(piece))
         return {"item_id": pa.array(out[0], pa.int64()), "body": pa.array(out[1], pa.binary())}
@@ -77,27 +83,58 @@ def hash_words(block: Block, words) -> np.ndarray:
     return block.hashes(words.start, words.end, seed=31)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """For each word of the vocabulary the number of documents that hold it, and the number of documents."""
+def body_words(bodies: DataFrame) -> DataFrame:
+    """word: the hashes of the words of bodies, each once."""
+    ship(bodies.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = block_of([b.as_py() for b in batch.column(0)])
+            yield pa.RecordBatch.from_pydict({"word": np.unique(hash_words(block, block.words())).view(np.int64)})
+
+    return bodies.select("body").mapInArrow(run, "word long").distinct()
+
+
+def document_frequencies(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """(word, n) for the words that are known (word) and occur, n documents each, and the number of documents: one pass
+    over docs (text). A filter of fixed size keeps most other words from being counted, the join takes out the rest."""
     ship(docs.sparkSession)
-    size = len(vocabulary.hashes)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            held[b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    spots = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in known.coalesce(4).mapInArrow(bits, "bits binary").collect():  # 2 MB each, four at most
+        spots |= np.frombuffer(r[0], np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 1, np.int64)
+        held, docs_read, found = [], 0, 0
+        out = lambda word, n: pa.RecordBatch.from_pydict({"word": pa.array(word, pa.int64()), "n": pa.array(n, pa.int64())})
         for block in map(Block.lowered, blocks(batches)):
-            words = bare_words(block)
-            at, number = vocabulary.find(hash_words(block, words))
-            pair = np.unique((np.searchsorted(words.ptr, at, "right") - 1) * size + number)
-            held[:size] += np.bincount(pair % size, minlength=size)
-            held[size] += len(block)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_pydict({"word": at.astype(np.int32), "n": held[at]})
-
-    got = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    out = np.zeros(size + 1, np.int64)
-    for word, n in got.limit(size + 1).collect():  # at most a row a word of one block of passages
-        out[word] = n
-    return out[:size], int(out[size])
+            words, docs_read = bare_words(block), docs_read + len(block)
+            keys = hash_words(block, words)
+            spot = keys % np.uint64(FILTER_BITS)
+            ok = np.flatnonzero(spots[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1)
+            word, number = np.unique(keys[ok], return_inverse=True)
+            pair = np.unique(words.doc[ok] * max(1, len(word)) + number)  # a document counts once
+            held.append((word, np.bincount(pair % max(1, len(word)), minlength=len(word))))
+            found += len(word)
+            if found > HELD_WORDS:
+                word, number = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+                held, found = [(word, np.bincount(number, np.concatenate([n for _, n in held])).astype(np.int64))], len(word)
+                if found > HELD_WORDS // 2:
+                    yield out(held[0][0].view(np.int64), held[0][1])
+                    held, found = [], 0
+        for word, n in held:
+            yield out(word.view(np.int64), n)
+        yield out([None], [docs_read])
+
+    got = saved(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = got.where("word is null").agg(F.sum("n")).first()[0] or 0
+    return got.join(known, "word"), int(total)
 
 
 def passage_matrix(bodies: list[bytes], vocabulary: Vocabulary, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,56 +222,69 @@ class Index:
     def __init__(self, bodies: list[bytes], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
         self.keys, self.vocabulary = [md5(b).hexdigest() for b in bodies], vocabulary
         self.space = space * idf[:, None].astype(np.float32)
-        self.useful = idf > 0.5
         block = block_of(bodies)
         words = block.words()
         at, number = vocabulary.find(hash_words(block, words))
+        # Words that most documents hold say little and are left out of windows, but not those of passages that have few others.
+        self.useful, passage = idf > 0.5, np.searchsorted(words.ptr, at, "right") - 1
+        rare = np.bincount(passage, self.useful[number], len(bodies)) < 0.5 * np.diff(words.ptr)
+        self.useful[number[rare[passage]]] = True
         own = [number[a:b].tolist() for a, b in zip(*(np.searchsorted(at, p) for p in (words.ptr[:-1], words.ptr[1:])), strict=True)]
         self.size, self.places = [len(x) for x in own], [positions(x) for x in own]
         latent = np.zeros((len(bodies), space.shape[1]), np.float32)
         np.add.at(latent, np.searchsorted(words.ptr, at, "right") - 1, self.space[number])
         self.norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
         self.latent = latent / self.norm[:, None]
+        self.least = np.where(np.diff(words.ptr) < LEAST_WORDS, np.inf, MASS * self.norm)  # short passages have no windows
         self._runs(hash_words(block, words), words, idf, np.concatenate(own) if own else np.zeros(0, np.int64))
         # Rarest words by steps of idf (a word that occurs twice is as rare as one that occurs once), the later first.
         step = np.floor(idf / 2).tolist()
         self.answer = [set(sorted({w: i for i, w in enumerate(x)}, key=lambda w, x=x: (-step[w], -len(x) + 1 + x[::-1].index(w)))[:ANSWER_WORDS]) for x in own]
 
     def _runs(self, keys: np.ndarray, words, idf: np.ndarray, number: np.ndarray) -> None:
-        """The runs of words that are looked up: for run i the passages and places run_of and run_at[run_ptr[i]:run_ptr[i + 1]]."""
+        """The runs of words that are looked up, by length: (hashes of runs, bounds, passages, places); run i of a length is
+        in the passages and at the places from bounds[i] to bounds[i + 1]."""
+        size = np.diff(words.ptr)
         at = np.flatnonzero(words.window_ok(LEAST_WORDS))
         run, of = windows(keys, LEAST_WORDS)[at], words.doc[at]
-        weight = np.convolve(idf[number], np.ones(LEAST_WORDS), "valid")[at]
+        weight = np.convolve(idf[number], np.ones(LEAST_WORDS), "valid")[at] if len(at) else np.zeros(0)
         _, run_id = np.unique(run, return_inverse=True)
         pair, first = np.unique(np.column_stack([run_id, of]), axis=0, return_index=True)
         common = np.bincount(pair[:, 0], minlength=run_id.max(initial=-1) + 1)[run_id]
         order = np.lexsort((at, run_id, -weight, common, of))
         keep = common <= SHARED
-        keep[order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))]] = True
+        keep[order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))] if len(of) else []] = True
         keep &= np.isin(np.arange(len(run)), first)  # a run that a passage repeats counts from its first place
-        run, of, at = run[keep], of[keep], (at - words.ptr[of])[keep]
-        self.runs = Vocabulary(run)
-        number = np.searchsorted(self.runs.hashes, run)
+        self.runs = {LEAST_WORDS: self._listed(run[keep], of[keep], (at - words.ptr[of])[keep])}
+        for n in range(1, LEAST_WORDS):  # short passages are runs themselves
+            own = np.flatnonzero(size == n)
+            if len(own):
+                self.runs[n] = self._listed(windows(keys, n)[words.ptr[own]], own, np.zeros(len(own), np.int64))
+
+    @staticmethod
+    def _listed(run: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
+        known = Vocabulary(run)
+        number = np.searchsorted(known.hashes, run)
         order = np.argsort(number, kind="stable")
-        self.run_of, self.run_at = of[order], at[order]
-        self.run_ptr = np.searchsorted(number[order], np.arange(len(self.runs.hashes) + 1))
-
-    def shared_runs(self, words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word of the block where the passage would start, passage) of places that share a run with a passage."""
-        ok = np.flatnonzero(words.window_ok(LEAST_WORDS))
-        at, number = self.runs.find(windows(keys, LEAST_WORDS)[ok])
-        at = ok[at]
-        found = [np.zeros((0, 3), np.int64)]
-        for cut in range(0, len(at), 4096):
-            own, of = at[cut : cut + 4096], number[cut : cut + 4096]
-            n = self.run_ptr[of + 1] - self.run_ptr[of]
-            row = np.arange(n.sum()) + np.repeat(self.run_ptr[of] - (np.cumsum(n) - n), n)
-            start = np.repeat(own, n) - self.run_at[row]
-            doc = np.searchsorted(words.ptr, np.repeat(own, n), "right") - 1
-            place = np.column_stack([doc, self.run_of[row], start])
-            found.append(place[np.unique(np.column_stack([place[:, :2], start // (STRIDE // 2)]), axis=0, return_index=True)[1]])
-        doc, passage, start = np.concatenate(found).T
-        return doc, start, passage
+        return known, np.searchsorted(number[order], np.arange(len(known.hashes) + 1)), of[order], at[order]
+
+    def shared_runs(self, words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word of the block where the passage would start, passage, words of slack on either side) of places
+        that share a run with a passage."""
+        found = [np.zeros((0, 4), np.int64)]
+        for n, (known, bounds, passages, places) in self.runs.items():
+            ok = np.flatnonzero(words.window_ok(n))
+            at, number = known.find(windows(keys, n)[ok])
+            at, slack = ok[at], STRIDE if n == LEAST_WORDS else 0
+            for cut in range(0, len(at), 4096):
+                own, of = at[cut : cut + 4096], number[cut : cut + 4096]
+                k = bounds[of + 1] - bounds[of]
+                row = np.arange(k.sum()) + np.repeat(bounds[of] - (np.cumsum(k) - k), k)
+                start = np.repeat(own, k) - places[row]
+                doc = np.searchsorted(words.ptr, np.repeat(own, k), "right") - 1
+                place = np.column_stack([doc, start, passages[row], np.full(len(row), slack)])
+                found.append(place[np.unique(np.column_stack([place[:, [0, 2]], start // (STRIDE // 2) if slack else start]), axis=0, return_index=True)[1]])
+        return tuple(np.concatenate(found).T)
 
     def cosine(self, number: list[int], p: int) -> float:
         """Of known words and a passage."""
@@ -261,12 +311,12 @@ class Index:
         inner = np.flatnonzero(of[:-1] == of[1:])
         window[inner] += latent[inner + 1]
         size = np.linalg.norm(window, axis=1)
-        strong = np.flatnonzero(size > MASS * self.norm.min())
+        strong = np.flatnonzero(size > self.least.min())
         found = []
         for cut in range(0, len(strong), 4096):
             own = strong[cut : cut + 4096]
             dot = window[own] @ self.latent.T
-            w, p = np.nonzero((dot >= COSINE * size[own, None]) & (dot >= MASS * self.norm[None, :]))
+            w, p = np.nonzero((dot >= COSINE * size[own, None]) & (dot >= self.least[None, :]))
             found.append((own[w], p, dot[w, p] / size[own[w]]))
         w, p, cosine = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return of[w], (w - base[of[w]]) * STRIDE, p, cosine
@@ -280,10 +330,10 @@ class Index:
         doc, start, passage, cosines = self.candidates(words, known, number)
         low = np.maximum(words.ptr[doc], words.ptr[doc] + start - STRIDE)
         high = np.minimum(words.ptr[doc + 1], words.ptr[doc] + start + PASSAGE + STRIDE)
-        d, at, p = self.shared_runs(words, keys)
+        d, at, p, slack = self.shared_runs(words, keys)
         size = np.array(self.size, np.int64)[p]
-        low = np.concatenate([low, np.maximum(words.ptr[d], at - STRIDE)])
-        high = np.concatenate([high, np.minimum(words.ptr[d + 1], at + size + STRIDE)])
+        low = np.concatenate([low, np.maximum(words.ptr[d], at - slack)])
+        high = np.concatenate([high, np.minimum(words.ptr[d + 1], at + size + slack)])
         # Where the latent vector is not taken yet, it is that of the words under the passage.
         inner = np.searchsorted(known, np.concatenate([np.zeros((len(doc), 2), np.int64), np.column_stack([np.maximum(words.ptr[d], at), np.minimum(words.ptr[d + 1], at + size)])]))
         doc, passage, cosines = np.concatenate([doc, d]), np.concatenate([passage, p]), np.concatenate([cosines, np.full(len(d), np.nan)])
@@ -303,8 +353,9 @@ class Index:
         return [(d, p, c, share, answer) for (d, p), (share, answer, c) in best.items()]
 
 
-def fit_index(docs: DataFrame, bodies: DataFrame) -> Index | None:
-    """The index over one block of distinct passages (body); None if there is nothing to find."""
+def fit_index(bodies: DataFrame, frequencies: DataFrame, total: int) -> Index | None:
+    """The index over one block of distinct passages (body), with document frequencies (word, n) of `total` documents; None
+    if there is nothing to find."""
     got = sorted(bytes(r[0]) for r in bodies.limit(ITEMS + 1).collect())
     if not got:
         return None
@@ -312,8 +363,10 @@ def fit_index(docs: DataFrame, bodies: DataFrame) -> Index | None:
         raise ValueError(f"more than {ITEMS} passages in a block")
     block = block_of(got)
     vocabulary = Vocabulary(hash_words(block, block.words()))
-    df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    df = np.zeros(len(vocabulary.hashes), np.int64)
+    rows = body_words(bodies).join(frequencies, "word").collect()  # a row a word of the block at most
+    df[np.searchsorted(vocabulary.hashes, np.array([r[0] for r in rows], np.int64).view(np.uint64))] = [r[1] for r in rows]
+    idf = np.log((total + 1) / (df + 1)) + 1e-3
     return Index(got, vocabulary, idf, randomised_svd(bodies, vocabulary, idf))
 
 
@@ -334,38 +387,39 @@ def parted(bodies: DataFrame, n: int, salt: int = 0) -> Iterator[DataFrame]:
 def indexes(docs: DataFrame, passages: DataFrame) -> Iterator[Index]:
     """One index for each block of distinct passages (item_id, body), however many items hold one."""
     bodies = saved(passages.select("body").distinct())
-    for part in parted(bodies, bodies.count()):
-        if (index := fit_index(docs, part.coalesce(4))) is not None:
+    if not (n := bodies.count()):
+        return
+    frequencies, total = document_frequencies(docs, saved(body_words(bodies)))
+    frequencies = saved(frequencies)
+    for part in parted(bodies, n):
+        if (index := fit_index(part.coalesce(4), frequencies, total)) is not None:
             yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common, answer: documents of docs (doc_id, text) that hold passages of benchmark
-    (item_id, text), a row a pair, from the best window.
+    (item_id, text), a row for each document and passage of an item, from the best window.
 
-    Null and empty texts hold nothing; rows with a null doc_id are reported with that null; null items and passages
-    under five words are no queries. Repeated rows are reported each. An empty table on either side gives no rows.
+    Null and empty texts hold nothing; rows with a null doc_id are reported with that null; null items and items without
+    a word are no queries. Repeated rows are reported each. An empty table on either side gives no rows.
     """
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").where("text is not null")
     passages, found = saved(item_passages(benchmark)), []
-    for index in indexes(own, passages):
+    for group in batched(indexes(own, passages), SCAN):
 
-        def rows(block: Block, index=index):
-            hits = index.confirmed(block)
+        def rows(block: Block, group=group):
+            hits = [(d, index.keys[p], *x) for index in group for d, p, *x in index.confirmed(block)]
             if not hits:
                 return None
-            d, p, cosine, share, answer = zip(*hits, strict=True)
-            return {"doc_id": block.column("doc_id").take(pa.array(d)), "body": pa.array([index.keys[i] for i in p]), "cosine": pa.array(cosine, pa.float64()), "common": pa.array(share, pa.float64()), "answer": pa.array(answer, pa.float64())}
+            d, body, cosine, share, answer = zip(*hits, strict=True)
+            return {"doc_id": block.column("doc_id").take(pa.array(d)), "body": pa.array(body), "cosine": pa.array(cosine, pa.float64()), "common": pa.array(share, pa.float64()), "answer": pa.array(answer, pa.float64())}
 
         found.append(map_blocks(own, ["doc_id", "text"], rows, "doc_id long, body string, cosine double, common double, answer double"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
     # Items come back by their passages; documents of one passage, and their items, go to LOTS tasks.
     items = passages.select(F.md5("body").alias("body"), "item_id", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
-    hits = out.withColumn("lot", F.pmod(F.xxhash64("doc_id", "cosine"), F.lit(LOTS)).cast("int"))
+    hits = reduce(DataFrame.union, found).withColumn("lot", F.pmod(F.xxhash64("doc_id", "cosine"), F.lit(LOTS)).cast("int"))
     pairs = hits.join(items, ["body", "lot"])
     return pairs.select("doc_id", "item_id", "cosine", "common", "answer")
 
