@@ -20,6 +20,11 @@ def lowest_set_bit(n: Column) -> Column:
     return F.when(n != 0, F.bit_count(n.bitwiseAND(-n) - 1).cast("long"))
 
 
+def lowest_set_bit_or_zero(n: Column) -> Column:
+    """Index of the lowest set bit; 0 for 0 too."""
+    return F.coalesce(lowest_set_bit(n), F.lit(0).cast("long"))
+
+
 def zigzag(v: Column) -> Column:
     """Unsigned 32-bit zigzag code of a signed 32-bit number."""
     v = v.cast("long")
@@ -45,8 +50,9 @@ def fibonacci_hash(n: Column) -> Column:
     return F.shiftright((folded * F.lit(0x9E3779B9)).bitwiseAND(F.lit(0xFFFFFFFF)), 16)
 
 
-def subsets(mask: Column, bits: int = 16) -> Column:
-    """All subsets of a bit mask below 2**bits, ascending from 0."""
+def subsets(mask: Column) -> Column:
+    """All subsets of a bit mask of few bits (the array runs over all numbers up to the mask), ascending from 0. Wider masks
+    are for the table function ``bit_subsets`` of roadloom.functions.sql."""
     return F.filter(F.sequence(F.lit(0).cast("long"), mask), lambda x: x.bitwiseAND(F.bitwise_not(mask)) == 0)
 
 
@@ -102,3 +108,20 @@ def lowest_common_ancestor(a: Column, b: Column) -> Column:
 
 def extract_bit(p: Column, index: Column) -> Column:
     return F.getbit(p, index) == 1
+
+
+def hilbert_index(x: Column, y: Column, bits: int = 16) -> Column:
+    """Position of a point (coordinates below 2**bits) along the Hilbert curve: two bits a step from the highest, and the
+    square is turned so that the curve goes on where it left off."""
+    one = F.lit(1).cast("long")
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(s: Column, k: Column) -> Column:
+        side = _shift_left(one, F.lit(bits - 1) - k)
+        right, up = s["x"].bitwiseAND(side) > 0, s["y"].bitwiseAND(side) > 0
+        quarter = F.when(right & ~up, 3).when(right & up, 2).when(up, 1).otherwise(0).cast("long")
+        mirror = right & ~up
+        a, b = (F.when(mirror, side - 1 - s[c].bitwiseAND(side - 1)).otherwise(s[c].bitwiseAND(side - 1)) for c in "xy")
+        return F.struct(F.when(up, a).otherwise(b).alias("x"), F.when(up, b).otherwise(a).alias("y"), (s["d"] * 4 + quarter).alias("d"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda s: s["d"])
