@@ -77,12 +77,28 @@ def max_flows(arcs: DataFrame) -> DataFrame:
 AXES = (lambda lat, lon: lat, lambda lat, lon: lon, lambda lat, lon: lat + lon, lambda lat, lon: lat - lon)
 
 
+def valid_balance(balance: float) -> None:
+    if not 0 < balance < 0.5:
+        raise ValueError(f"balance {balance} is not inside (0, 0.5)")
+
+
+def valid_depth(depth: int) -> None:
+    if not 1 <= depth <= 31:
+        raise ValueError(f"depth {depth} is not in 1 to 31")
+
+
+def better_cut(a: tuple, b: tuple) -> bool:
+    """Whether a cut (flow, balance, ...) comes before another: less flow, then more balance."""
+    return (a[0], -a[1]) < (b[0], -b[1])
+
+
 def inertial_cut(nodes: list[tuple[int, int, int]], arcs: list[tuple[int, int]], axis: int, balance: float, bound: int | None = None):
-    """(flow, balance, left ids, right ids) of the cut along one axis, or None. nodes: (id, lat, lon).
+    """(flow, balance, left ids, right ids) of the cut along one axis, or None where there is none. nodes: (id, lat, lon).
 
     The first and last max(1, n * balance) nodes along the projection become source and target; every arc has capacity
     one. Nodes without arcs join the smaller side."""
-    if not arcs or not 0 < balance < 0.5:
+    valid_balance(balance)
+    if not arcs:
         return None
     order = [i for _, i in sorted((AXES[axis](lat, lon), i) for i, lat, lon in nodes)]
     ends = max(1, int(len(order) * balance))
@@ -122,6 +138,8 @@ def bisection(edges: DataFrame, nodes: DataFrame, depth: int, balance: float = 0
         left = set(cut[3]) if cut and cut[3] and cut[4] else None
         return pd.DataFrame({"node": ids, "partition_id": [cell if left is None else 2 * cell + (i not in left) for i in ids]})
 
+    valid_balance(balance)
+    valid_depth(depth)
     ship(edges.sparkSession)
     part = saved(nodes.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("partition_id")))
     left = edges.select("src", "dst")

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.plans.components import components
+from roadloom.plans.components import clusters, components
 from roadloom.session import saved
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, hops, parent: hops from the nearest source (node), with the smallest node one hop nearer."""
+def bfs_levels(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """node, hops, parent: hops from the nearest source (node), with the smallest node one hop nearer.
+
+    With targets (node) it ends with the level that discovers the first of them; sources are not discovered, so a target
+    that is a source does not count. Arcs that a search must not take are filtered out of edges by the caller."""
     reached = saved(sources.select(F.col("node").cast("long"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("long").alias("parent")).distinct())
     front, hops = reached, 0
     while True:
@@ -24,21 +27,51 @@ def bfs_levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
         if front.isEmpty():
             return reached
         reached = saved(reached.union(front)) if hops % 8 == 0 else reached.union(front)
+        if targets is not None and not front.join(targets.select("node"), "node", "left_semi").isEmpty():
+            return reached
 
 
 def distances(edges: DataFrame, source: int) -> DataFrame:
-    """node, dist from one source by relaxation of improved nodes; edges (src, dst, w) with w >= 0."""
-    spark = edges.sparkSession
-    known = saved(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).cast("long").alias("dist")))
-    front = known
+    """node, dist from one source; edges (src, dst, w) with w >= 0."""
+    return _relaxed(edges, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"))).select("node", "dist")
+
+
+def _relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, dist from each source (column node), by relaxing the arcs of improved nodes, all sources at once."""
+    known = saved(sources.select(F.col("node").cast("long").alias("source"), F.col("node").cast("long"), F.lit(0).cast("long").alias("dist")).distinct())
+    front, arcs = known, edges.select("src", "dst", "w")
     while True:
-        step = front.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        merged = saved(known.join(step, "node", "full").select("node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")))
-        known, front = merged.select("node", "dist"), merged.where("better").select("node", "dist")
+        step = front.withColumnRenamed("node", "src").join(arcs, "src").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        merged = saved(known.join(step, ["source", "node"], "full").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")))
+        known, front = merged.select("source", "node", "dist"), merged.where("better").select("source", "node", "dist")
         if front.isEmpty():
             return known
 
 
+def all_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, dist, parent (null at the source) of every node reached from each source (column node). The parent is
+    the smallest nearer node on a shortest path; arcs have positive weights."""
+    far = _relaxed(edges, sources)
+    tight = far.select("source", F.col("node").alias("src"), F.col("dist").alias("at")).join(edges.select("src", "dst", "w"), "src").select("source", F.col("dst").alias("node"), "src", (F.col("at") + F.col("w")).alias("dist"))
+    parents = tight.join(far, ["source", "node", "dist"]).where("node <> source").groupBy("source", "node").agg(F.min("src").alias("parent"))
+    return saved(far.join(parents, ["source", "node"], "left").select("source", "node", "dist", "parent"))
+
+
+def joined_paths(far: DataFrame, pairs: DataFrame) -> DataFrame:
+    """source, target, distance, path of pairs (source, target) along the parents of all_distances; null where there is
+    none. All paths go back one node a round, the finished ones leave the loop."""
+    hop = far.select("source", F.col("node").alias("at"), "parent")
+    ends = far.select("source", F.col("node").alias("target"), F.col("dist").alias("distance"))
+    wanted = saved(pairs.select("source", "target").distinct().join(ends, ["source", "target"], "left"))
+    left, done = wanted.where("distance IS NOT NULL").select("source", "target", F.col("target").alias("at"), F.array("target").alias("path")), None
+    while not left.isEmpty():
+        home = left.where("at = source").select("source", "target", "path")
+        done = home if done is None else done.union(home)
+        left = saved(left.where("at <> source").join(hop, ["source", "at"]).select("source", "target", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")))
+    out = wanted.join(done, ["source", "target"], "left") if done is not None else wanted.withColumn("path", F.lit(None).cast("array<bigint>"))
+    return pairs.select("source", "target").join(out, ["source", "target"], "left")
+
+
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node); nodes: further nodes (node) that may have no edge."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("root", "component")
@@ -63,8 +96,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Every open node takes the smallest node that reaches it as its colour; within a colour, the nodes that reach the
     colour's root backwards form a component. They leave, and the rest goes on."""
-    open_nodes = saved(nodes.select(F.col("node").cast("long")).distinct())
-    left, done = saved(edges.where("src <> dst").select("src", "dst").distinct()), None
+    every = saved(nodes.select(F.col("node").cast("long")).distinct())
+    # Nodes outside of the core, where no cycle passes, are components of their own.
+    left = saved(cyclic_core(edges.where("src <> dst")))
+    open_nodes = saved(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+    done = every.join(open_nodes, "node", "left_anti").select("node", F.col("node").alias("colour"))
     while not open_nodes.isEmpty():
         colour = open_nodes.withColumn("colour", F.col("node"))
         while True:
@@ -81,10 +117,10 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             front = saved(step.join(back.select("node"), "node", "left_anti"))
             back = back.union(front)
         back = saved(back)
-        done = back if done is None else done.union(back)
+        done = done.union(back)
         open_nodes = saved(open_nodes.join(back.select("node"), "node", "left_anti"))
         left = saved(left.join(open_nodes.select(F.col("node").alias("src")), "src", "left_semi").join(open_nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    return done.withColumnRenamed("colour", "component") if done is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+    return done.withColumnRenamed("colour", "component")
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -101,22 +137,22 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             break
         own = best.select((-F.col("k")).alias("edge_id"), "src", "dst", "w")
         chosen = own if chosen is None else chosen.union(own)
-        roots = components(best.select(F.col("t_src").alias("a"), F.col("t_dst").alias("b")))
+        roots = saved(clusters(best.select(F.col("t_src").alias("a"), F.col("t_dst").alias("b"))))
         label = saved(label.join(roots.withColumnRenamed("node", "tree"), "tree", "left").select("node", F.coalesce("root", "tree").alias("tree")))
     return chosen if chosen is not None else edges.select("edge_id", "src", "dst", "w").limit(0)
 
 
 def path_to(levels: DataFrame, target: int) -> DataFrame:
-    """pos, node along the parents from a target of bfs_levels (node, hops, parent) back to its source."""
-    spark = levels.sparkSession
-    at = levels.where(F.col("node") == target).limit(1).collect()
-    rows = []
-    while at:
-        rows.append((at[0]["hops"], at[0]["node"]))
-        if at[0]["parent"] is None:
-            break
-        at = levels.where(F.col("node") == at[0]["parent"]).limit(1).collect()
-    return spark.createDataFrame(rows, "pos long, node long")
+    """pos, node along the parents from a target of bfs_levels (node, hops, parent) back to its source. Levels are walked
+    from the target's down, each by one join; the rows stay in the cluster."""
+    levels = saved(levels)
+    at, out = levels.where(F.col("node") == target), None
+    for hops in range(levels.where(F.col("node") == target).agg(F.coalesce(F.max("hops"), F.lit(-1))).first()[0], -1, -1):
+        row = at.select(F.col("hops").alias("pos"), "node")
+        out = row if out is None else out.union(row)
+        at = levels.where(F.col("hops") == hops - 1).join(F.broadcast(at.select(F.col("parent").alias("node"))), "node").select("node", "hops", "parent")  # a row
+        at = saved(at) if hops % 8 == 0 else at
+    return out if out is not None else levels.select(F.col("hops").alias("pos"), "node").limit(0)
 
 
 def edge_ids(edges: DataFrame) -> DataFrame:
