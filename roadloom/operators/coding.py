@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from functools import cache
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -72,21 +74,23 @@ def weighted_words(indices: DataFrame) -> DataFrame:
     return indices.select("weight", "idx").mapInPandas(run, "weight long, idx long, value long")
 
 
-def tabulation_tables(seed: int = 0) -> tuple[list[int], list[int]]:
-    """Two tables of 16-bit values for the halves of a 32-bit key; equal seeds give equal tables."""
-    import random
-
-    rng = random.Random(seed)
-    return [rng.getrandbits(16) for _ in range(1 << 16)], [rng.getrandbits(16) for _ in range(1 << 16)]
+@cache
+def tabulation_tables(seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of 16-bit values for the halves of a 32-bit key, made once a worker: entry i of a table is the top half of
+    the 32-bit Weyl sequence from the seed, put through a multiply-and-shift mixer."""
+    out = []
+    for table in (0, 1):
+        x = (np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B9) + np.uint64((2 * seed + table) * 0x85EBCA6B)) & np.uint64(0xFFFFFFFF)
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x45D9F3B)) & np.uint64(0xFFFFFFFF)
+        out.append((x ^ (x >> np.uint64(16))) >> np.uint64(16))
+    return out[0].astype(np.int64), out[1].astype(np.int64)
 
 
 def tabulation_hashes(keys: DataFrame, seed: int = 0) -> DataFrame:
     """key, hash: tabulation hashing of 32-bit keys to 16 bits."""
 
     def run(frames):
-        import numpy as np
-
-        low, high = map(np.array, tabulation_tables(seed))
+        low, high = tabulation_tables(seed)
         for f in frames:
             k = f.key.to_numpy("int64")
             yield f.assign(hash=low[k & 0xFFFF] ^ high[k >> 16 & 0xFFFF])

@@ -81,6 +81,20 @@ def select_prefix(prefixes: DataFrame, group: str, order: str, value: Column) ->
     return prefixes.where(F.col("prefix") <= value).groupBy(group).agg(F.max(order).alias("pos"))
 
 
+def updated(values: DataFrame, deltas: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Values (group, order, value) after point additions (group, order, value): sums by place. An addition past the end, or
+    to a group that is not there, is an error."""
+    added = deltas.groupBy(group, order).agg(F.sum(value).alias("_delta"))
+    both = values.select(group, order, value, F.lit(True).alias("_there")).join(added, [group, order], "full")
+    there = F.when(F.col("_there"), F.col(value) + F.coalesce("_delta", F.lit(0))).otherwise(F.raise_error(F.lit("index out of range")).cast("bigint"))
+    return both.select(group, order, there.alias(value))
+
+
+def zeros(spark, n: int) -> DataFrame:
+    """g, i, value: one group of n places with value 0."""
+    return spark.range(n).selectExpr("0L AS g", "id AS i", "0L AS value")
+
+
 def runs(rows: DataFrame, group: str, order: list[str], same: Column) -> DataFrame:
     """rows with run: numbers from 1 for maximal runs in each group; `same` says whether a row continues the run, and may
     use lag() columns named prev_* that the caller adds, or any expression over the window of (group, order)."""
@@ -147,20 +161,47 @@ def lru_hits(accesses: DataFrame, group: str, order: list[str], key: str, capaci
     return folded(accesses.select(group, *order, key), group, replay, f"{group} long, hits long, misses long")
 
 
+def _middle(sizes: DataFrame, *keys: str) -> DataFrame:
+    """keys, median: the element n / 2 (from 0) of the ascending sizes of a group. Equal sizes are counted before they are
+    ranked, so a group is as many rows as it has different sizes."""
+    counted = sizes.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("size")
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("of_all", F.sum("n").over(Window.partitionBy(*keys)))
+    return ranked.where("upto > of_all div 2 AND upto - n <= of_all div 2").select(*keys, F.col("size").alias("median"))
+
+
+def _spread(sizes: DataFrame, *keys: str) -> DataFrame:
+    """keys, cells, smallest, mean, median, largest, biased_mean of sizes."""
+    total = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"), F.min("size").alias("smallest"), F.avg("size").alias("mean"), F.max("size").alias("largest"), (F.sum(F.col("size") * F.col("size")) / F.sum("size")).alias("biased_mean"))
+    return total.join(_middle(sizes, *keys), [*keys])
+
+
 def cell_statistics(cells: DataFrame) -> DataFrame:
     """level, cells, mean, median (element n / 2), largest and size-biased mean of cell sizes; cells: node, level, cell."""
     sizes = cells.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("size"))
-    grouped = sizes.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.avg("size").alias("mean"), F.sort_array(F.collect_list("size")).alias("s"), F.max("size").alias("largest"), (F.sum(F.col("size") * F.col("size")) / F.sum("size")).alias("biased_mean"))
-    return grouped.select("level", "cells", "mean", F.expr("s[cast(size(s) div 2 AS int)]").alias("median"), "largest", "biased_mean")
+    return _spread(sizes, "level").select("level", "cells", "mean", "median", "largest", "biased_mean")
+
+
+def border_statistics(border: DataFrame) -> DataFrame:
+    """level, cells (that have a border), mean, median, largest and size-biased mean of the numbers of border nodes; border:
+    level, cell, node."""
+    sizes = border.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("size"))
+    return _spread(sizes, "level").select("level", "cells", "mean", "median", "largest", "biased_mean")
 
 
 def partition_statistics(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """cut (arcs between cells), cells, smallest, median, largest of a partition (node, cell)."""
     a, b = (partition.select(F.col("node").alias(k), F.col("cell").alias(f"c_{k}")) for k in ("src", "dst"))
     cut = edges.join(a, "src").join(b, "dst").agg(F.count_if(F.col("c_src") != F.col("c_dst")).alias("cut"))
-    sizes = partition.groupBy("cell").count()
-    stats = sizes.agg(F.count(F.lit(1)).alias("cells"), F.min("count").alias("smallest"), F.expr("sort_array(collect_list(count))[cast(count(*) div 2 AS int)]").alias("median"), F.max("count").alias("largest"))
-    return cut.crossJoin(stats)  # a row each
+    sizes = partition.groupBy(F.lit(0).alias("_all"), "cell").agg(F.count(F.lit(1)).alias("size"))
+    return cut.crossJoin(_spread(sizes, "_all").select("cells", "smallest", "median", "largest"))  # a row each
+
+
+def partition_levels(partition: DataFrame) -> DataFrame:
+    """level, cells, nodes: how deep the cells of a bisection (node, partition_id) lie."""
+    from roadloom.functions.bits import level
+
+    return partition.groupBy(level(F.col("partition_id")).alias("level")).agg(F.countDistinct("partition_id").alias("cells"), F.count(F.lit(1)).alias("nodes"))
 
 
 def rank_medians(timings: DataFrame) -> DataFrame:

@@ -7,56 +7,118 @@ all points. Written sorted by ``zorder_key``, files prune by their statistics as
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import haversine
+from roadloom.functions.boxes import SIDES, Haversine, box, center, contains, geojson_bbox, intersects, is_valid
+from roadloom.functions.geo import haversine, zorder_key
+from roadloom.operators.delaunay import triangles as star_triangles
 from roadloom.session import saved, ship
 
 CELL = 5_000_000  # micro-degrees
+SWEEP = 64  # points from which on triangulations go star by star
+
+
+def _cells(box: Column, cell: int) -> tuple[Column, Column]:
+    """The rows and columns of grid cells that a box touches."""
+    floor = lambda c: F.floor(box[c] / cell)
+    return F.sequence(floor("min_lat"), floor("max_lat")), F.sequence(floor("min_lon"), floor("max_lon"))
 
 
 def in_windows(points: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
-    """box_id, id of the points inside each box (box_id, min_lat, min_lon, max_lat, max_lon), borders included."""
-    floor = lambda c: F.floor(F.col(c) / cell)
-    covered = boxes.withColumn("ci", F.explode(F.sequence(floor("min_lat"), floor("max_lat")))).withColumn("cj", F.explode(F.sequence(floor("min_lon"), floor("max_lon"))))
-    placed = points.select("id", "lat", "lon", floor("lat").alias("ci"), floor("lon").alias("cj"))
-    return placed.join(covered, ["ci", "cj"]).where("lat BETWEEN min_lat AND max_lat AND lon BETWEEN min_lon AND max_lon").select("box_id", "id")
+    """box_id, id of the points (id, lat, lon) inside each box (box_id, min_lat, min_lon, max_lat, max_lon), borders included."""
+    own = boxes.select("box_id", F.struct(*SIDES).alias("box"))
+    rows, columns = _cells(F.col("box"), cell)
+    covered = own.withColumn("ci", F.explode(rows)).withColumn("cj", F.explode(columns))
+    placed = points.select("id", "lat", "lon", F.floor(F.col("lat") / cell).alias("ci"), F.floor(F.col("lon") / cell).alias("cj"))
+    return placed.join(covered, ["ci", "cj"]).where(contains(F.col("box"), F.col("lat"), F.col("lon"))).select("box_id", "id")
+
+
+def intersecting(elements: DataFrame, windows: DataFrame, cell: int = CELL) -> DataFrame:
+    """window_id, id of the elements (id, box) whose box meets a window (window_id, box); touching is enough, invalid boxes
+    meet nothing. Both sides go to the grid cells that they touch; a pair is told in the cell that holds the south-west
+    corner of its common part, so each comes once."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        i, j = _cells(F.col("box"), cell)
+        return rows.where(is_valid(F.col("box"))).withColumn("ci", F.explode(i)).withColumn("cj", F.explode(j))
+
+    a, b = placed(elements.select("id", "box")), placed(windows.select("window_id", F.col("box").alias("box"))).withColumnRenamed("box", "window")
+    corner = lambda c: F.floor(F.greatest(F.col("box")[c], F.col("window")[c]) / cell)
+    met = a.join(b, ["ci", "cj"]).where(intersects(F.col("box"), F.col("window")) & (F.col("ci") == corner("min_lat")) & (F.col("cj") == corner("min_lon")))
+    return met.select("window_id", "id")
+
+
+def write_clustered(points: DataFrame, path: str, files: int = 200) -> None:
+    """Writes points (lat, lon, ...) in ranges of the Z-order curve, sorted along it: each file and row group covers a small
+    box, so window filters on lat and lon skip most of them by their statistics."""
+    keyed = points.withColumn("_z", zorder_key(F.col("lat"), F.col("lon")))
+    keyed.repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(path)
+
+
+def window_filter(points: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    """The points inside one box (min_lat, min_lon, max_lat, max_lon), by a filter that reaches the scan."""
+    return points.where(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, cell: int = CELL) -> DataFrame:
-    """query_id, id, distance (km), rank of the k points nearest to each query (query_id, lat, lon).
+    """query_id, id, distance (km), rank of the k points nearest to each query (query_id, lat, lon). Ties go to the smaller
+    id.
 
-    Rings of cells grow around each query until the k-th distance found is shorter than anything outside the ring can
-    be; settled queries leave the loop. Ties go to the smaller id."""
+    Rings of cells around a query find k points; the k-th distance bounds where nearer ones can be. Where the ring does not
+    cover that circle, the cells under the circle are read, once. Queries with fewer than k points in the ring go on with
+    a ring of twice the width. Ranks are cut to k before the rows meet."""
     across = -(-360_000_000 // cell)
-    km_cell = cell / 1e6 * math.pi / 180 * 6378.137
+    km_degree = math.pi / 180 * 6378.137
     placed = saved(points.select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / cell).alias("ci"), F.pmod(F.floor(F.col("lon") / cell), F.lit(across)).alias("cj")))
-    open_queries, done, ring = saved(queries.select("query_id", "lat", "lon")), None, 1
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    while True:
-        qi, qj = F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)
-        whole = 2 * ring + 1 >= across
-        rows = open_queries.withColumn("ci", F.explode(F.sequence(qi - ring, qi + ring)))
-        # Meridians converge: away from the equator a ring takes more cells to be as wide.
-        reach = F.greatest(F.abs(F.col("lat")) / 1e6 + (ring + 1) * cell / 1e6, F.lit(0.0))
-        wide = F.when((reach >= 89.0) | F.lit(whole), F.lit(across // 2)).otherwise(F.least(F.ceil(F.lit(float(ring + 1)) / F.cos(F.radians(F.least(reach, F.lit(89.0))))), F.lit(across // 2)))
+    lat, lon = F.col("lat") / 1e6, F.col("lon") / 1e6
+
+    def found(rows: DataFrame, low: Column, high: Column, wide: Column) -> DataFrame:
+        """The k nearest points in cell rows low to high and `wide` cells to either side."""
+        qj = F.floor(F.col("lon") / cell)
+        rows = rows.withColumn("ci", F.explode(F.sequence(low, high)))
         rows = rows.withColumn("cj", F.explode(F.array_distinct(F.transform(F.sequence(qj - wide, qj + wide), lambda j: F.pmod(j, F.lit(across))))))
-        near = rows.join(placed, ["ci", "cj"]).withColumn("distance", haversine(F.col("lat") / 1e6, F.col("lon") / 1e6, F.col("p_lat") / 1e6, F.col("p_lon") / 1e6))
-        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        full = saved(best.select("query_id", "id", "distance", "rank"))
-        sure = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= ring * km_cell) if not whole else F.lit(True)).select("query_id")
-        part = full.join(sure, "query_id", "left_semi")
-        done = part if done is None else done.union(part)
-        open_queries = saved(open_queries.join(sure, "query_id", "left_anti"))
-        if whole or open_queries.isEmpty():
-            return done
+        near = rows.join(placed, ["ci", "cj"]).withColumn("distance", haversine(lat, lon, F.col("p_lat") / 1e6, F.col("p_lon") / 1e6))
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def breadth(reach: Column, degrees: Column) -> Column:
+        """Cells that span so many degrees at the latitude (absolute, in degrees) that a circle reaches."""
+        ratio = F.sin(F.radians(F.least(degrees, F.lit(89.0)))) / F.cos(F.radians(F.least(reach, F.lit(89.0))))
+        cells = F.ceil(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1e6 / cell) + 1
+        return F.when((reach >= 89.0) | (ratio >= 1.0), F.lit(across // 2 + 1)).otherwise(F.least(cells, F.lit(across // 2 + 1))).cast("long")
+
+    left, done, ring = saved(queries.select("query_id", "lat", "lon")), [], 1
+    while True:
+        qi, whole = F.floor(F.col("lat") / cell), 2 * ring + 1 >= across
+        degrees = F.lit(float(ring * cell / 1e6))
+        full = saved(found(left, qi - ring, qi + ring, breadth(F.abs(lat) + degrees, degrees) if not whole else F.lit(across // 2 + 1).cast("long")))
+        stat = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        got = saved(left.join(stat, "query_id", "left").withColumn("sure", F.lit(whole) | (F.col("far") <= ring * cell / 1e6 * km_degree)))
+        keep = got.where(F.lit(whole) | (F.col("n") == k))
+        done.append(full.join(keep.where("sure").select("query_id"), "query_id", "left_semi").select("query_id", "id", "distance", "rank"))
+        far = F.col("far") / km_degree
+        wider = keep.where("NOT sure").select("query_id", "lat", "lon", "far")
+        row = lambda v: F.floor(v * 1e6 / cell)
+        done.append(found(wider, row(lat - far), row(lat + far), breadth(F.abs(lat) + far, far)).select("query_id", "id", "distance", "rank"))
+        left = saved(got.where((F.coalesce("n", F.lit(0)) < k) & ~F.lit(whole)).select("query_id", "lat", "lon"))
+        if whole or left.isEmpty():
+            return reduce(DataFrame.union, done)
         ring *= 2
 
 
+def nearest_in(points: DataFrame, queries: DataFrame, k: int, metric: type = Haversine) -> DataFrame:
+    """query_id, id, distance, rank by a metric (boxes.Haversine, boxes.Planar) for points (group, id, lat, lon) and queries
+    (group, query_id, lat, lon) of the same group; for groups that are small, or already local."""
+    p = points.select("group", "id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    near = queries.join(p, "group").withColumn("distance", metric.distance(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+
+
 def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Convex hull of (lat, lon) counter-clockwise (x = lon) from the smallest (lon, lat), collinear points dropped. Up to
     three points come back as given."""
@@ -97,10 +159,27 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
     return extreme_points(points.select(key, "lat", "lon"), key).groupBy(key).applyInPandas(one, f"{key} long, ring array<struct<lat:int,lon:int>>")
 
 
+def hull_boxes(hulls_: DataFrame) -> DataFrame:
+    """hulls (cell, ring) with bbox ([west, south, east, north] in degrees) and place: the position of a hull along the Z-order
+    curve of the boxes' centres, as exports list them."""
+    from roadloom.operators.relational import global_prefix_sums
+
+    side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    boxed = hulls_.withColumn("_box", box(side(F.array_min, "lat"), side(F.array_min, "lon"), side(F.array_max, "lat"), side(F.array_max, "lon")))
+    key = F.struct(zorder_key(*center(F.col("_box"))).alias("z"), "cell")
+    placed = global_prefix_sums(boxed.withColumn("_key", key).withColumn("_one", F.lit(1).cast("long")), "_key", "_one", 8)
+    return placed.select("cell", "ring", geojson_bbox(F.col("_box")).alias("bbox"), (F.col("prefix") - 1).alias("place"))
+
+
 def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles (positions) of distinct planar points, by insertion from left to right: each point removes the
-    triangles whose circumcircle holds it and joins the rim of the hole; triangles whose circle lies wholly to the left
-    are final and leave the search. Collinear input has none."""
+    """Delaunay triangles (positions, in turning order) of distinct planar points. Collinear input has none."""
+    return sweep(points) if len(points) < SWEEP else [*map(tuple, star_triangles(points, sweep).tolist())]
+
+
+def sweep(points: np.ndarray) -> list[tuple[int, int, int]]:
+    """Delaunay triangles by insertion from left to right: each point removes the triangles whose circumcircle holds it and
+    joins the rim of the hole; triangles whose circle lies wholly to the left are final and leave the search. For few
+    points: the open triangles are all looked at."""
     n = len(points)
     if n < 3:
         return []
@@ -110,13 +189,13 @@ def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
     at = np.vstack([points - mid, np.array([[-30.0, -20.0], [30.0, -20.0], [0.0, 40.0]]) * span * 1000]).tolist()
 
     def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = at[a], at[b], at[c]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-12 * span * span:
+        ox, oy = at[a]
+        bx, by, cx, cy = at[b][0] - ox, at[b][1] - oy, at[c][0] - ox, at[c][1] - oy
+        d, bb, cc = 2 * (bx * cy - by * cx), bx * bx + by * by, cx * cx + cy * cy
+        if abs(d) <= 1e-14 * (bb + cc):
             return 0.0, 0.0, math.inf
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
+        ux, uy = (bb * cy - cc * by) / d, (cc * bx - bb * cx) / d
+        return ux + ox, uy + oy, ux * ux + uy * uy
 
     triangles, final = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}, []
     for p in np.lexsort((points[:, 1], points[:, 0])).tolist():

@@ -40,19 +40,75 @@ def read_ddsg_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return _tokens(spark, path).where("size(t) = 3").selectExpr("cast(t[0] AS bigint) AS id", "cast(t[1] AS double) / 1e5 AS lon", "cast(t[2] AS double) / 1e5 AS lat")
 
 
+def numbered_lines(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
+    """value, pos: the lines that the condition leaves, numbered from 0 in the file's order. Lines are counted by block and
+    numbered inside it, so no task sees them all and none is shuffled."""
+    lines = spark.read.text(path).where(where).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    sizes = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"))
+    base = sizes.selectExpr("f", "b", "low", "coalesce(sum(n) OVER (ORDER BY f, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")  # a row a block
+    return lines.join(F.broadcast(base), ["f", "b"]).selectExpr("value", "k - low + base AS pos")
+
+
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, w = 1: line i (after the header) lists the 1-based neighbours of node i. Line order matters, so lines
-    are numbered by their offset in the file before they are split."""
-    lines = spark.read.text(path).where("not startswith(ltrim(value), '%')").select("value", F.monotonically_increasing_id().alias("pos"))
-    numbered = lines.selectExpr("value", "row_number() OVER (ORDER BY pos) - 2 AS src").where("src >= 0")
-    arcs = numbered.selectExpr("cast(src AS bigint) AS src", r"explode(split(trim(value), '\\s+')) AS t").selectExpr("src", "try_cast(t AS bigint) - 1 AS dst", "1L AS w")
-    return arcs.where("dst IS NOT NULL AND src <> dst")
+    """src, dst, w = 1: line i (after the header) lists the 1-based neighbours of node i; lines with % are comments. A
+    neighbour beyond the announced number of nodes is an error."""
+    lines = numbered_lines(spark, path, "not startswith(ltrim(value), '%')")
+    head = lines.where("pos = 0").selectExpr(r"cast(split(trim(value), '\\s+')[0] AS bigint) AS n").collect()
+    n = head[0][0] if head else 0
+    arcs = lines.where("pos > 0").selectExpr("pos - 1 AS src", r"explode(split(trim(value), '\\s+')) AS t").selectExpr("src", "try_cast(t AS bigint) - 1 AS dst", "1L AS w").where("dst IS NOT NULL")
+    inside = F.when((F.col("dst") >= 0) & (F.col("dst") < n) & (F.col("src") < n), F.col("dst")).otherwise(F.raise_error(F.lit("a node is beyond the announced number")).cast("bigint"))
+    return arcs.select("src", inside.alias("dst"), "w").where("src <> dst")
 
 
 def read_metis_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """id (by line), lon, lat in degrees from `lon lat [z]` lines in hundred-thousandths."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), F.monotonically_increasing_id().alias("pos")).where("size(t) >= 2")
-    return lines.selectExpr("cast(row_number() OVER (ORDER BY pos) - 1 AS bigint) AS id", "cast(t[0] AS double) / 1e5 AS lon", "cast(t[1] AS double) / 1e5 AS lat")
+    lines = numbered_lines(spark, path, "size(split(trim(value), '[ \\t]+')) >= 2").select("pos", F.split(F.trim("value"), r"\s+").alias("t"))
+    return lines.selectExpr("pos AS id", "cast(t[0] AS double) / 1e5 AS lon", "cast(t[1] AS double) / 1e5 AS lat")
+
+
+#: Readers of graphs and coordinates by format.
+GRAPHS = {"dimacs": (read_dimacs, read_dimacs_coordinates), "ddsg": (read_ddsg, read_ddsg_coordinates), "metis": (read_metis, read_metis_coordinates)}
+
+
+def ingest(spark: SparkSession, kind: str, graph: str, coordinates: str, out: str) -> None:
+    """Reads a graph of a text format (dimacs, ddsg, metis) with its coordinates and writes Parquet tables under `out`: edges
+    (src, dst, w), sorted by source in ranges, and nodes (id, lat, lon in micro-degrees)."""
+    if kind not in GRAPHS:
+        raise ValueError(f"unknown format {kind}")
+    edges, places = (read(spark, path) for read, path in zip(GRAPHS[kind], (graph, coordinates), strict=True))
+    edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst", "w").write.mode("overwrite").parquet(f"{out}/edges")
+    if kind != "dimacs":  # degrees
+        places = places.selectExpr("id", "cast(lat * 1e6 AS int) AS lat", "cast(lon * 1e6 AS int) AS lon")
+    places.select("id", "lat", "lon").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{out}/nodes")
+
+
+def read_edges(spark: SparkSession, path: str, with_weights: bool = True) -> DataFrame:
+    """src, dst [, w] of an ingested graph. Without weights their column is not read."""
+    return spark.read.parquet(f"{path}/edges").select("src", "dst", *(["w"] if with_weights else []))
+
+
+def narrowed(edges: DataFrame) -> DataFrame:
+    """Arcs with ends and weights that fit 32 unsigned bits; a wider value is an error, not a wrap."""
+    checked = lambda c: F.when(F.col(c).between(0, (1 << 32) - 1), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} does not fit 32 bits: "), F.col(c).cast("string"))).cast("bigint"))
+    return edges.select(*(checked(c).alias(c) for c in edges.columns))
+
+
+def write_directory(cells: DataFrame, path: str) -> None:
+    """Persists a level directory (node, level, cell), a folder a level."""
+    cells.select("node", "level", "cell").write.mode("overwrite").partitionBy("level").parquet(path)
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).selectExpr("node", "cast(level AS int) AS level", "cell")
+
+
+def write_ordering(ordering: DataFrame, path: str) -> None:
+    """Persists a numbering (old, new), sorted by old number in ranges."""
+    ordering.select("old", "new").repartitionByRange("old").sortWithinPartitions("old").write.mode("overwrite").parquet(path)
+
+
+def read_ordering(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
@@ -111,8 +167,19 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="source long, target long, rank long, distance long", mode="DROPMALFORMED")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+#: Columns of the interchange tables.
+CSV_TABLES = {
+    "pairs": ("source", "target", "rank", "distance"),
+    "timings": ("engine", "source", "target", "rank", "nanos", "distance"),
+    "scans": ("engine", "source", "target", "rank", "settled", "inserted", "decreased"),
+    "cut": ("latitude", "longitude"),
+    "assignment": ("partition_id", "latitude", "longitude"),
+}
+
+
+def write_csv(df: DataFrame, path: str, kind: str | None = None) -> None:
+    """Writes a table with a header; kind: one of CSV_TABLES, whose columns it then has, in order."""
+    (df.select(*CSV_TABLES[kind]) if kind else df).write.mode("overwrite").csv(path, header=True)
 
 
 def cut_arcs(edges: DataFrame, partition: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,14 +203,24 @@ def polygon_features(hulls: DataFrame) -> DataFrame:
     return hulls.select("cell", F.to_json(feature).alias("feature"))
 
 
+def boundary_points(edges: DataFrame, partition: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, lat, lon of the start of every arc between different partitions, a row an arc; nodes without coordinates have none."""
+    a, b = (partition.selectExpr(f"node AS {k}", f"partition_id AS p_{k}") for k in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").where("p_src <> p_dst").selectExpr("src AS id").join(nodes, "id").select("id", "lat", "lon")
+
+
 def point_features(points: DataFrame) -> DataFrame:
     """GeoJSON point features of rows (id, lat, lon) in micro-degrees."""
     feature = F.struct(F.lit("Feature").alias("type"), F.col("id"), F.struct(F.lit("Point").alias("type"), F.array(F.col("lon") / 1e6, F.col("lat") / 1e6).alias("coordinates")).alias("geometry"))
     return points.select("id", F.to_json(feature).alias("feature"))
 
 
-def feature_collection(features: DataFrame) -> DataFrame:
-    """One row with the collection of all features, in order of the first column. For exports that fit one document."""
-    return features.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(features.columns[0]).alias("k"), "feature"))).alias("f")).select(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("geojson")
-    )
+def feature_collection(features: DataFrame, path: str) -> None:
+    """Writes the features (JSON texts) as one GeoJSON collection in text files whose lines, in file order, are the document:
+    the opening line, a feature a line in order of the first column, the closing line. No row holds more than a feature."""
+    k = features.columns[0]
+    body = features.select(F.lit(1).alias("part"), F.col(k).cast("string").alias("s"), F.col(k).alias("k"), "feature")
+    first = body.agg(F.min("k")).first()[0]
+    lines = body.select("part", "k", F.when(F.col("k") == first, F.col("feature")).otherwise(F.concat(F.lit(","), "feature")).alias("value"))
+    ends = features.sparkSession.createDataFrame([(0, None, '{"type":"FeatureCollection","features":['), (2, None, "]}")], lines.schema)
+    lines.union(ends).repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
