@@ -1,6 +1,7 @@
 """The reference queries: Spark callables by name, and DuckDB SQL with the same result where SQL can say it."""
 
-from roadloom.queries import graphs, scalars, shapes, tables
+from roadloom.queries import files, graphs, scalars, shapes, structure, tables
 
-QUERIES = scalars.QUERIES | tables.QUERIES | graphs.QUERIES | shapes.QUERIES
-ORACLE_SQL = scalars.ORACLE_SQL | tables.ORACLE_SQL | graphs.ORACLE_SQL | shapes.ORACLE_SQL
+_ALL = (scalars, tables, graphs, structure, shapes, files)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}

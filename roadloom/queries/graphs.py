@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from roadloom.plans import batched, flow, frontier, hierarchy
 from roadloom.queries.registry import registry
-from roadloom.session import fits, saved
-from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, trade
+from roadloom.session import saved
+from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, TRADE_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, table, trade
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -57,8 +57,6 @@ def filtered_reach(spark, sf_dir):
 def sssp_copurchase(spark, sf_dir):
     """The flagship: distances from the smallest part, by the batched kernel, or by iterated joins where the arcs don't fit."""
     e = saved(copurchase(spark, sf_dir))
-    if not fits(e, batched.LOCAL_ROWS):
-        return frontier.distances(e, e.agg(F.min("src")).first()[0])
     return batched.one_to_all(e, e.agg(F.min("src").alias("node"))).select("node", "dist")
 
 
@@ -122,40 +120,50 @@ def path_lengths(spark, sf_dir):
     return hops.join(e, ["src", "dst"], "left").groupBy("source", "target").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("length"))
 
 
-SMALL_SQL = f"{COPURCHASE_SQL}, thin AS (SELECT * FROM copurchase WHERE (src * 7 + dst * 13) % 40 = 0)"
-
-
-def _thin(spark, sf_dir):
-    return copurchase(spark, sf_dir).where("(src * 7 + dst * 13) % 40 = 0")
+@query(f"""WITH RECURSIVE {COPURCHASE_SQL}, few AS (SELECT src, dst FROM copurchase WHERE w >= 45), both_ways AS (SELECT src, dst FROM few UNION SELECT dst, src FROM few), c(node, root) USING KEY (node) AS (
+  SELECT src, src FROM both_ways UNION SELECT e.dst, min(c.root) FROM c JOIN both_ways e ON c.node = e.src JOIN recurring.c r ON r.node = e.dst WHERE c.root < r.root GROUP BY e.dst)
+SELECT node, root AS component FROM c""")
+def heavy_components(spark, sf_dir):
+    """Components over the arcs of weight 45 or more, an edge filter that leaves many of them."""
+    return frontier.weak_components(copurchase(spark, sf_dir).where("w >= 45"))
 
 
-@query(f"""WITH RECURSIVE {SMALL_SQL}, both_ways AS (SELECT src, dst FROM thin UNION SELECT dst, src FROM thin), c(node, root) USING KEY (node) AS (
+@query(f"""WITH RECURSIVE {COPURCHASE_SQL}, both_ways AS (SELECT src, dst FROM copurchase UNION SELECT dst, src FROM copurchase), c(node, root) USING KEY (node) AS (
   SELECT src, src FROM both_ways UNION SELECT e.dst, min(c.root) FROM c JOIN both_ways e ON c.node = e.src JOIN recurring.c r ON r.node = e.dst WHERE c.root < r.root GROUP BY e.dst)
 SELECT node, root AS component FROM c""")
 def components(spark, sf_dir):
-    return frontier.weak_components(_thin(spark, sf_dir))
+    return frontier.weak_components(copurchase(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {SMALL_SQL}, reach(a, b) AS (SELECT src, src FROM thin UNION SELECT dst, dst FROM thin UNION SELECT r.a, e.dst FROM reach r JOIN thin e ON r.b = e.src)
-SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+@query()
 def scc(spark, sf_dir):
-    e = _thin(spark, sf_dir)
+    """Strong components of all arcs."""
+    e = saved(copurchase(spark, sf_dir))
     return frontier.strong_components(e, _nodes(e))
 
 
-@query(f"""WITH RECURSIVE {SMALL_SQL}, reach(a, b) AS (SELECT src, dst FROM thin UNION SELECT r.a, e.dst FROM reach r JOIN thin e ON r.b = e.src)
-SELECT EXISTS (SELECT 1 FROM reach WHERE a = b) AS cyclic""")
+@query()
 def cycle_check(spark, sf_dir):
-    return frontier.cyclic_core(_thin(spark, sf_dir)).agg((F.count(F.lit(1)) > 0).alias("cyclic"))
+    """Whether there are cycles: over all arcs, and over those that go up, which can have none."""
+    e = saved(copurchase(spark, sf_dir))
+    found = lambda arcs, name: frontier.cyclic_core(arcs).agg(F.lit(name).alias("arcs"), (F.count(F.lit(1)) > 0).alias("cyclic"))
+    return found(e, "all").union(found(e.where("src < dst"), "upward"))
 
 
-@query()
+KRUSKAL_SQL = f"""RECURSIVE {TRADE_SQL}, numbered AS (SELECT row_number() OVER (ORDER BY src, dst, w) - 1 AS edge_id, src, dst, w FROM trade WHERE src <> dst),
+sorted AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, edge_id DESC) AS k FROM numbered),
+grown(k, tree, edge_id, src, dst, w) AS (SELECT 0::BIGINT, range(25), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
+  UNION ALL SELECT s.k, CASE WHEN g.tree[s.src + 1] = g.tree[s.dst + 1] THEN g.tree ELSE list_transform(g.tree, lambda t: CASE WHEN t = g.tree[s.dst + 1] THEN g.tree[s.src + 1] ELSE t END) END,
+    CASE WHEN g.tree[s.src + 1] <> g.tree[s.dst + 1] THEN s.edge_id END, s.src, s.dst, s.w FROM grown g JOIN sorted s ON s.k = g.k + 1)"""
+
+
+@query(f"WITH {KRUSKAL_SQL} SELECT edge_id, src, dst, w FROM grown WHERE edge_id IS NOT NULL")
 def mst(spark, sf_dir):
     """The minimum spanning forest of the trade graph's undirected arcs."""
     return frontier.spanning_forest(frontier.edge_ids(trade(spark, sf_dir).where("src <> dst"))).select("edge_id", "src", "dst", "w")
 
 
-@query()
+@query(f"WITH {KRUSKAL_SQL} SELECT sum(w)::BIGINT AS cost FROM grown WHERE edge_id IS NOT NULL")
 def mst_cost(spark, sf_dir):
     return mst(spark, sf_dir).agg(F.sum("w").alias("cost"))
 
@@ -165,24 +173,49 @@ def grid_graph(spark, sf_dir):
     return grid_edges(spark, 8).groupBy("src").agg(F.count(F.lit(1)).alias("out_arcs"), F.sum("w").alias("out_weight"))
 
 
-def _flow_arcs(spark):
-    """Unit-like capacities on small grids, one instance a side length."""
+def _grid_flows(spark, sides):
+    """Capacities on grids from corner to corner, one instance a side length."""
     out = None
-    for side in (4, 5, 6):
+    for side in sides:
         part = grid_edges(spark, side).selectExpr(f"{side}L AS instance", "src", "dst", "w AS cap", "0L AS s", f"{side * side - 1}L AS t")
         out = part if out is None else out.union(part)
     return out
 
 
-@query()
+def _flow_arcs(spark, sf_dir):
+    """Small instances: grids of side 2 to 4, and the trade between regions."""
+    of = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS bigint) AS n", "cast(n_regionkey AS bigint) AS r")
+    flows = trade(spark, sf_dir).join(of.selectExpr("n AS src", "r AS rs"), "src").join(of.selectExpr("n AS dst", "r AS rd"), "dst")
+    regions = flows.where("rs <> rd").selectExpr("100L AS instance", "rs AS src", "rd AS dst", "w AS cap", "0L AS s", "4L AS t")
+    return _grid_flows(spark, (2, 3, 4)).union(regions)
+
+
+#: Every cut of the small instances, by the bits of its source side.
+CUTS_SQL = f"""WITH {TRADE_SQL}, {grid_sql(2).replace('rc AS', 'rc2 AS').replace('FROM rc', 'FROM rc2').replace('east', 'east2').replace('south', 'south2').replace('grid AS', 'grid2 AS')},
+{grid_sql(3).replace('rc AS', 'rc3 AS').replace('FROM rc', 'FROM rc3').replace('east', 'east3').replace('south', 'south3').replace('grid AS', 'grid3 AS')}, {grid_sql(4)},
+arcs AS (SELECT 2 AS instance, src, dst, w AS cap, 4 AS n FROM grid2 UNION ALL SELECT 3, src, dst, w, 9 FROM grid3 UNION ALL SELECT 4, src, dst, w, 16 FROM grid
+  UNION ALL SELECT 100, a.n_regionkey, b.n_regionkey, w, 5 FROM trade JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey),
+merged AS (SELECT instance, n, src, dst, sum(cap) AS cap FROM arcs GROUP BY ALL),
+sides AS (SELECT DISTINCT instance, n, side * 2 + 1 AS side FROM (SELECT DISTINCT instance, n FROM merged) i, range(16384) s(side) WHERE side < 1 << (n - 2)),
+cuts AS (SELECT s.instance, s.side, coalesce(sum(cap), 0)::BIGINT AS cut FROM sides s LEFT JOIN merged m ON m.instance = s.instance AND (s.side >> m.src) & 1 = 1 AND (s.side >> m.dst) & 1 = 0 GROUP BY ALL)"""
+
+
+@query(f"{CUTS_SQL} SELECT instance::BIGINT AS instance, min(cut) AS flow FROM cuts GROUP BY instance")
 def max_flow(spark, sf_dir):
-    return flow.max_flows(_flow_arcs(spark)).select("instance", "flow")
+    return flow.max_flows(_flow_arcs(spark, sf_dir)).select("instance", "flow")
+
+
+@query(f"""{CUTS_SQL}, least AS (SELECT instance, min(cut) AS cut FROM cuts GROUP BY instance), best AS (SELECT instance, bit_and(side) AS side FROM cuts JOIN least USING (instance, cut) GROUP BY instance)
+SELECT instance::BIGINT AS instance, i::BIGINT AS node FROM best, range(16) t(i) WHERE (side >> i) & 1 = 1""")
+def min_cut_side(spark, sf_dir):
+    """The source sides of the minimum cuts: the smallest of all, which lies in every other."""
+    return flow.max_flows(_flow_arcs(spark, sf_dir)).select("instance", F.explode("source_side").alias("node"))
 
 
 @query()
 def min_cut(spark, sf_dir):
-    """Arcs of the minimum cuts; their capacities sum to the flows."""
-    arcs = _flow_arcs(spark)
+    """Arcs of the minimum cuts of larger grids; their capacities sum to the flows."""
+    arcs = _grid_flows(spark, (5, 6, 12))
     side = flow.max_flows(arcs).select("instance", "flow", F.explode("source_side").alias("src"))
     inner = side.select("instance", F.col("src").alias("dst"))
     return arcs.join(side, ["instance", "src"]).join(inner, ["instance", "dst"], "left_anti").groupBy("instance", "flow").agg(F.sum("cap").alias("cut"))
@@ -210,8 +243,9 @@ def common_level(spark, sf_dir):
     return _level_pairs(spark).select("a", "b", hierarchy.common_level("c_a", "c_b").cast("long").alias("level"))
 
 
-@query(f"""WITH {grid_cells_sql(16)}, {LEVEL_PAIRS}, d AS (SELECT x.node AS u, y.node AS v, max(x.level) AS hdl FROM cells x JOIN cells y ON x.level = y.level AND x.cell <> y.cell GROUP BY ALL)
-SELECT p.a, p.b, p.n, CASE WHEN s.hdl IS NOT NULL AND t.hdl IS NOT NULL THEN least(s.hdl, t.hdl) END::BIGINT AS level FROM pairs p LEFT JOIN d s ON s.u = p.a AND s.v = p.n LEFT JOIN d t ON t.u = p.b AND t.v = p.n""")
+@query(f"""WITH {grid_cells_sql(16)}, {LEVEL_PAIRS}, h AS (SELECT p.a, p.b, p.n, max(CASE WHEN x.cell <> z.cell THEN z.level END) AS s, max(CASE WHEN y.cell <> z.cell THEN z.level END) AS t
+  FROM pairs p JOIN cells z ON z.node = p.n JOIN cells x ON x.node = p.a AND x.level = z.level JOIN cells y ON y.node = p.b AND y.level = z.level GROUP BY ALL)
+SELECT a, b, n, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN least(s, t) END::BIGINT AS level FROM h""")
 def query_level(spark, sf_dir):
     return _level_pairs(spark).select("a", "b", "n", hierarchy.query_level("c_a", "c_b", "c_n").cast("long").alias("level"))
 
@@ -237,37 +271,27 @@ def cell_graph(spark, sf_dir):
     return hierarchy.cell_graph(grid_edges(spark, 16), grid_cells(spark, 16).where("level = 0").select("node", "cell"))[1]
 
 
-@query(f"""WITH RECURSIVE {grid_sql(8)}, {grid_cells_sql(8)}, arcs AS (SELECT a.level, a.cell, g.src, g.dst, g.w FROM grid g JOIN cells a ON a.node = g.src JOIN cells b ON b.node = g.dst AND b.level = a.level AND b.cell = a.cell),
+CELL_SQL = f"""WITH RECURSIVE {grid_sql(8)}, {grid_cells_sql(8)}, arcs AS (SELECT a.level, a.cell, g.src, g.dst, g.w FROM grid g JOIN cells a ON a.node = g.src JOIN cells b ON b.node = g.dst AND b.level = a.level AND b.cell = a.cell),
 border AS (SELECT DISTINCT a.level, a.cell, n.node FROM grid g JOIN cells a ON a.node = g.src JOIN cells b ON b.node = g.dst AND b.level = a.level AND b.cell <> a.cell, LATERAL (SELECT g.src AS node) n
   UNION SELECT b.level, b.cell, g.dst FROM grid g JOIN cells a ON a.node = g.src JOIN cells b ON b.node = g.dst AND b.level = a.level AND b.cell <> a.cell),
 sp(level, cell, u, v, w) USING KEY (level, u, v) AS (
   SELECT level, cell, node, node, 0::BIGINT FROM border
   UNION SELECT s.level, s.cell, s.u, e.dst, min(s.w + e.w)::BIGINT FROM sp s JOIN arcs e ON e.level = s.level AND e.src = s.v LEFT JOIN recurring.sp r ON r.level = s.level AND r.u = s.u AND r.v = e.dst
-  WHERE r.w IS NULL OR s.w + e.w < r.w GROUP BY s.level, s.cell, s.u, e.dst)
-SELECT s.level::BIGINT AS level, s.cell::BIGINT AS cell, s.u, s.v, s.w FROM sp s JOIN border b ON b.level = s.level AND b.node = s.v""")
+  WHERE r.w IS NULL OR s.w + e.w < r.w GROUP BY s.level, s.cell, s.u, e.dst)"""
+
+
+@query(f"{CELL_SQL} SELECT s.level::BIGINT AS level, s.cell::BIGINT AS cell, s.u, s.v, s.w FROM sp s JOIN border b ON b.level = s.level AND b.node = s.v")
 def cell_distances(spark, sf_dir):
     t = hierarchy.cell_distances(grid_edges(spark, 8), grid_cells(spark, 8))
     return t.select(F.col("level").cast("long").alias("level"), "cell", "u", "v", "w")
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+@query(f"{CELL_SQL}, t AS (SELECT s.level::BIGINT AS level, s.cell::BIGINT AS cell, s.u, s.v, s.w FROM sp s JOIN border b ON b.level = s.level AND b.node = s.v) SELECT level, cell, u, v, CASE WHEN (u * 7 + v) % 11 <> 1 THEN w + 1 END AS table_w, w AS graph_w FROM t WHERE (u * 7 + v) % 11 < 2")
 def cell_check(spark, sf_dir):
-    """Tables built level by level against searches on the bare graph: no differences."""
+    """Tables with wrong and with missing entries against searches on the bare graph: just these are found."""
     e, c = grid_edges(spark, 8), grid_cells(spark, 8)
-    return hierarchy.cell_mismatches(e, c, hierarchy.cell_distances(e, c)).agg(F.count(F.lit(1)).alias("mismatches"))
-
-
-@query("SELECT 0::BIGINT AS violations")
-def nesting_check(spark, sf_dir):
-    return hierarchy.nesting_violations(grid_cells(spark, 16)).agg(F.count(F.lit(1)).alias("violations"))
-
-
-@query()
-def query_levels(spark, sf_dir):
-    """Nodes settled by overlay and plain searches between the same pairs."""
-    e, pairs = grid_edges(spark, 16), spark.sql("SELECT 0L AS source, 255L AS target UNION ALL SELECT 15L, 240L")
-    over = hierarchy.overlay_distances(e, grid_cells(spark, 16), pairs).select("source", "target", F.col("settled").alias("overlay"))
-    return over.join(batched.pair_distances(e, pairs).select("source", "target", F.col("settled").alias("plain")), ["source", "target"])
+    t = hierarchy.cell_distances(e, c).where("(u * 7 + v) % 11 <> 1").withColumn("w", F.expr("CASE WHEN (u * 7 + v) % 11 = 0 THEN w + 1 ELSE w END"))
+    return hierarchy.cell_mismatches(e, c, t).withColumn("level", F.col("level").cast("long"))
 
 
 @query()
@@ -297,12 +321,6 @@ def assemble(spark, sf_dir):
     return hierarchy.assembled(e, pieces, [40, 80, 150]).select("node", F.col("level").cast("long").alias("level"), "cell")
 
 
-@query(f"WITH {grid_sql(12)} SELECT src AS node, 0::BIGINT AS component FROM grid GROUP BY src")
-def cell_components(spark, sf_dir):
-    """Weak components of a connected graph: one."""
-    return frontier.weak_components(grid_edges(spark, 12))
-
-
 @query(f"WITH {GEO_SQL}, {COPURCHASE_SQL} SELECT a.lat / 1e6 AS latitude, a.lon / 1e6 AS longitude FROM (SELECT unnest([src, dst]) AS id FROM copurchase WHERE src % 4 <> dst % 4) JOIN geo a USING (id)")
 def cut_csv(spark, sf_dir):
     """Ends of arcs between different partitions."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from roadloom.functions import boxes
 from roadloom.operators import coding, relational, sketches, spatial
 from roadloom.queries.registry import registry
 from roadloom.queries.scalars import HAVERSINE
@@ -64,10 +65,10 @@ def _lines(spark, sf_dir):
     return relational.prefix_sums(q, "g", "i", "q")
 
 
-@query(f"WITH {_PREFIX} SELECT a.g, a.i, b.i AS j, CASE WHEN a.i >= b.i THEN 0 ELSE b.prefix - a.prefix END AS total FROM p a JOIN p b ON a.g = b.g WHERE (a.i + b.i) % 3 = 0")
+@query(f"WITH {_PREFIX} SELECT a.g, a.i, b.i AS j, CASE WHEN a.i >= b.i THEN 0 ELSE b.prefix - a.prefix END AS total FROM p a JOIN p b ON a.g = b.g")
 def range_sum(spark, sf_dir):
     p = _lines(spark, sf_dir)
-    ranges = p.select("g", "i").join(p.select("g", F.col("i").alias("j")), "g").where("(i + j) % 3 = 0")
+    ranges = p.select("g", "i").join(p.select("g", F.col("i").alias("j")), "g")
     return relational.range_sums(p, ranges, "g", "i")
 
 
@@ -168,48 +169,100 @@ def bin_pack(spark, sf_dir):
     return relational.next_fit(items, "g", "i", "q", 60)
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+p AS (SELECT *, lag(k) OVER (PARTITION BY user_id, event_type ORDER BY k) AS before FROM e),
+d AS (SELECT a.user_id, a.k, a.before, count(DISTINCT b.event_type) AS other FROM p a LEFT JOIN e b ON b.user_id = a.user_id AND b.k > a.before AND b.k < a.k GROUP BY ALL)
+SELECT user_id, count(*) FILTER (before IS NOT NULL AND other < 3) AS hits, count(*) FILTER (before IS NULL OR other >= 3) AS misses FROM d GROUP BY user_id""")
 def lru_replay(spark, sf_dir):
     """Hits of a cache of three event types over each user's events."""
     return relational.lru_hits(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
 
 
-@query("SELECT p_partkey AS key, p_partkey % 3 = 0 AS added FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT count(*) FILTER (p_partkey % 3 = 0) AS added, count(*) FILTER (p_partkey % 3 = 0) AS found, true AS few_false FROM part")
 def bloom(spark, sf_dir):
-    """Keys that were added and are found: all of them, since a Bloom filter has no false negatives."""
+    """A filter sized by the keys that were added: all of them are found, and of the others no more than three times as many
+    as the rate allows (and a handful)."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
     added = p.where("key % 3 = 0")
-    n = 10_000
+    n = added.count()
     found = sketches.bloom_contains(p, "key", sketches.bloom_filter(added, "key", n, 0.01), n, 0.01)
-    return found.where("maybe AND key % 3 = 0").select("key", F.lit(True).alias("added"))
+    hit = lambda own: F.count_if(F.col("maybe") & (F.expr("key % 3 = 0") if own else F.expr("key % 3 <> 0")))
+    return found.agg(F.count_if(F.expr("key % 3 = 0")).alias("added"), hit(True).alias("found"), (hit(False) <= 5 + 0.03 * F.count_if(F.expr("key % 3 <> 0"))).alias("few_false"))
 
 
-@query("SELECT l_partkey AS key, true AS covered FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS key, count(*) AS n, true AS covered FROM lineitem GROUP BY l_partkey")
 def count_min(spark, sf_dir):
-    """Whether each estimate is at least the count and within the error bound."""
+    """Counts beside whether each estimate is at least the count and within the error bound."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"))
     sketch = sketches.count_min(rows, "key", 0.001, 1e-6)
     est = sketches.count_min_estimates(rows, "key", sketch, 0.001, 1e-6)
     exact = rows.groupBy("key").count()
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return exact.join(est, "key").join(F.broadcast(total)).select("key", F.expr("estimate >= count AND estimate <= count + 0.001 * total").alias("covered"))
+    return exact.join(est, "key").join(F.broadcast(total)).select("key", F.col("count").alias("n"), F.expr("estimate >= count AND estimate <= count + 0.001 * total").alias("covered"))
 
 
-@query()
+@query("WITH d AS (SELECT l_orderkey AS g, l_linenumber::BIGINT AS i, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL), u AS (SELECT g, i, q + CASE WHEN i % 2 = 1 THEN g % 10 ELSE 0 END AS q FROM d) SELECT g, i, (sum(q) OVER (PARTITION BY g ORDER BY i))::BIGINT AS prefix FROM u")
+def prefix_after_update(spark, sf_dir):
+    """Prefix sums after point additions."""
+    values = _lines(spark, sf_dir).select("g", "i", "q")
+    changed = relational.updated(values, values.where("i % 2 = 1").selectExpr("g", "i", "g % 10 AS q"), "g", "i", "q")
+    return relational.prefix_sums(changed, "g", "i", "q").select("g", "i", "prefix")
+
+
+@query(r"""WITH RECURSIVE w AS (SELECT ascii(lang) * 256 + ascii(lang[2:]) AS g, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+n AS (SELECT g, w[1] AS symbol, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+merge(g, l, cost) AS (SELECT g, list_sort(list(n)), 0::BIGINT FROM n GROUP BY g
+  UNION ALL SELECT g, list_sort(list_append(l[3:], l[1] + l[2])), (cost + l[1] + l[2])::BIGINT FROM merge WHERE len(l) > 1)
+SELECT m.g::BIGINT AS g, CASE WHEN k.symbols = 1 THEN l[1] ELSE cost END::BIGINT AS bits, k.symbols FROM merge m JOIN (SELECT g, count(*) AS symbols FROM n GROUP BY g) k ON k.g = m.g WHERE len(l) = 1""")
 def huffman_bits(spark, sf_dir):
-    """Code lengths of the words' first letters in each language, as one alphabet a language."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select(F.abs(F.hash("lang")).cast("long").alias("g"), F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
+    """Bits of the words' first letters in each language, one alphabet a language, and the letters."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select(F.expr("cast(ascii(lang) * 256 + ascii(substring(lang, 2)) AS bigint)").alias("g"), F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
     counts = d.groupBy("g", F.substring("w", 1, 1).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
     return coding.huffman(counts, "g").groupBy("g").agg(F.sum(F.col("n") * F.col("length")).alias("bits"), F.count(F.lit(1)).alias("symbols"))
 
 
-@query()
+@query("""WITH v AS (SELECT w, x, row_number() OVER (PARTITION BY w ORDER BY x) - 1 AS idx FROM range(1, 9) a(w), range(65536) b(x) WHERE bit_count(x) = w)
+SELECT w AS weight, idx, x AS value FROM v WHERE idx <= 40 AND w > 1 UNION ALL SELECT 1, i, 1::BIGINT << i FROM range(41) t(i)""")
 def weighted_words(spark, sf_dir):
     """The first 64-bit numbers of each weight, by rank."""
     rows = spark.range(1, 9).withColumnRenamed("id", "weight").withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long"))))
     return coding.weighted_words(rows)
 
 
-@query()
+_TABULATED = "(xor(({x}), ({x}) >> 16)) >> 16"
+_TABLE = "(xor({y}, {y} >> 16) * 73244475) & 4294967295"
+_ENTRY = "(({i} + 1) * 2654435769 + {t} * 2246822507) & 4294967295"
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS key, {_ENTRY.format(i='(p_partkey & 65535)', t=0)} AS a, {_ENTRY.format(i='((p_partkey >> 16) & 65535)', t=1)} AS b FROM part),
+m AS (SELECT key, {_TABLE.format(y='a')} AS a, {_TABLE.format(y='b')} AS b FROM e)
+SELECT key, xor({_TABULATED.format(x='a')}, {_TABULATED.format(x='b')}) AS hash FROM m""")
 def tabulation_hash(spark, sf_dir):
     return coding.tabulation_hashes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+
+
+_WINDOWS = "win AS (SELECT n_nationkey::BIGINT AS window_id, n_nationkey * 6000000 - 80000000 AS a, n_nationkey * 12000000 - 170000000 AS b, n_nationkey * 6000000 - 60000000 AS c, n_nationkey * 12000000 - 140000000 AS d FROM nation)"
+
+
+@query(f"""WITH {GEO_SQL}, {_WINDOWS}, el AS (SELECT id, lat AS a, lon AS b, lat + (id * 31337) % 9000000 AS c, lon + (id * 7331) % 12000000 AS d FROM geo)
+SELECT window_id, id FROM el JOIN win ON el.a <= win.c AND win.a <= el.c AND el.b <= win.d AND win.b <= el.d""")
+def box_intersect(spark, sf_dir):
+    """Boxes that meet windows."""
+    el = geo(spark, sf_dir).select("id", boxes.box(F.col("lat"), F.col("lon"), F.col("lat") + (F.col("id") * 31337) % 9000000, F.col("lon") + (F.col("id") * 7331) % 12000000).alias("box"))
+    win = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("window_id"), boxes.box(*(F.expr(x) for x in ("n_nationkey * 6000000 - 80000000", "n_nationkey * 12000000 - 170000000", "n_nationkey * 6000000 - 60000000", "n_nationkey * 12000000 - 140000000"))).alias("box"))
+    return spatial.intersecting(el, win)
+
+
+@query(f"""WITH {GEO_SQL}, q AS (SELECT s_suppkey AS query_id, s_suppkey % 50 AS g, (s_suppkey * 1117) % 140 * 1000000 - 70000000 AS a, (s_suppkey * 2791) % 360 * 1000000 - 180000000 AS b FROM supplier),
+d AS (SELECT query_id, id, sqrt((a - lat)::DOUBLE * (a - lat) + (b - lon)::DOUBLE * (b - lon)) AS distance FROM q JOIN geo ON id % 50 = g)
+SELECT query_id, id, round(distance, 3) AS distance, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM d) WHERE k <= 3""")
+def knn_planar(spark, sf_dir):
+    """Neighbours in the plane, among the points of a query's group."""
+    q = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS query_id", "s_suppkey % 50 AS group", "(s_suppkey * 1117) % 140 * 1000000 - 70000000 AS lat", "(s_suppkey * 2791) % 360 * 1000000 - 180000000 AS lon")
+    near = spatial.nearest_in(geo(spark, sf_dir).withColumn("group", F.col("id") % 50), q, 3, boxes.Planar)
+    return near.select("query_id", "id", F.round("distance", 3).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT n::BIGINT AS i, 0::BIGINT AS value FROM range(5) t(n)")
+def fenwick_zeros(spark, sf_dir):
+    return relational.zeros(spark, 5).select("i", "value")

@@ -43,6 +43,7 @@ def test_encoders(spark):
     assert encoders.polyline_points("_p~iF~ps|U_ulLnnqC_mqNvxq`@") == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
 
 
+# Fixed values of the graphs in FIXTURES.md: (src, dst, capacity or weight).
 FLOW_A = [(0, 1, 16), (0, 2, 13), (1, 2, 10), (1, 3, 12), (2, 1, 4), (2, 4, 14), (3, 2, 9), (3, 5, 20), (4, 3, 7), (4, 5, 4)]
 FLOW_B = [(0, 1, 5), (0, 4, 7), (0, 5, 6), (1, 2, 4), (1, 7, 3), (4, 7, 4), (4, 6, 1), (5, 6, 5), (2, 3, 3), (7, 3, 7), (6, 7, 1), (6, 3, 6)]
 
@@ -138,7 +139,37 @@ def test_inertial_cut():
     nodes = [(0, 0, 0), (1, 1, 0), (2, 2, 1), (3, 5, 1), (4, 6, 0), (5, 7, 0)]
     axis, cut, balance, left, right = flow.best_cut(nodes, arcs, 0.25)
     assert (cut, balance, sorted([left, right])) == (1, 0.5, [[0, 1, 2], [3, 4, 5]])
-    assert flow.inertial_cut(nodes, [], 0, 0.25) is None and flow.inertial_cut(nodes, arcs, 0, 0.5) is None
+    assert flow.inertial_cut(nodes, [], 0, 0.25) is None
+    for outside in (0, 0.5):
+        with pytest.raises(ValueError, match="balance"):
+            flow.inertial_cut(nodes, arcs, 0, outside)
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "line", "lattice"])
+def test_star_triangulation(kind):
+    """Stars and the sweep give the same triangles. In dense clusters far apart and along lines, where the sweep's circles
+    are too coarse, and on a lattice, where circles tie, there are as many as there must be and they cover the hull."""
+    from roadloom.operators.delaunay import triangles
+
+    rng = np.random.default_rng(5)
+    points = {
+        "even": rng.random((1500, 2)),
+        "clusters": np.vstack([rng.random((40, 2)) * 100] + [rng.normal(c, 0.01, (300, 2)) for c in rng.random((5, 2)) * 100]),
+        "line": np.column_stack([rng.random(800) * 1000, rng.random(800)]),
+        "lattice": np.stack(np.meshgrid(np.arange(25.0), np.arange(25.0)), -1).reshape(-1, 2),
+    }[kind]
+    turned = lambda t: {tuple(np.roll(r, -int(np.argmin(r))).tolist()) for r in np.asarray(t)}
+    got = triangles(points, spatial.sweep)
+    if kind != "even":
+        a, b, c = (points[got[:, k]] for k in range(3))
+        area = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
+        rim = np.array([(x, y) for y, x in spatial.hull([(int(y * 2**40), int(x * 2**40)) for x, y in points.tolist()])], float) / 2**40
+        x, y = rim.T
+        whole = abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+        border = 96 if kind == "lattice" else len(rim)
+        assert len(got) == 2 * len(points) - 2 - border and (area > 0).all() and abs(area.sum() - whole) < 1e-6 * whole
+    else:
+        assert turned(got) == turned(spatial.sweep(points))
 
 
 def test_hull_and_triangles():
@@ -204,9 +235,10 @@ def test_readers(spark, write):
 
 def test_writers(spark, tmp_path):
     h = spark.createDataFrame([(7, [(0, 0), (0, 1000000), (1000000, 1000000)])], "cell long, ring array<struct<lat:int,lon:int>>")
-    text = formats.feature_collection(formats.polygon_features(h)).first().geojson
     import json
 
+    formats.feature_collection(formats.polygon_features(h), str(tmp_path / "g"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
     feature = json.loads(text)["features"][0]
     assert feature["bbox"] == [0.0, 0.0, 1.0, 1.0] and feature["geometry"]["coordinates"][0][0] == feature["geometry"]["coordinates"][0][-1]
     pairs = spark.createDataFrame([(1, 2, 4, 9)], "source long, target long, rank long, distance long")
