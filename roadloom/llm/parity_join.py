@@ -448,7 +448,8 @@ def parity_join(docs: DataFrame) -> DataFrame:
     linked = nodes.join(roots, "node").select("node", "rep", "root")
     least = saved(linked.groupBy("root").agg(F.min("rep").alias("least")))
     of = linked.join(least, "root").select("node", "least")
-    named_class = nodes.select("node", "rep").join(of, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    # Saved, so that the last join has two plain shuffles, of which a node with very many copies can be split.
+    named_class = saved(nodes.select("node", "rep").join(of, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")))
     out = every.select("doc_id", "node", "n").join(named_class, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
