@@ -12,10 +12,11 @@ runs, so anchors say which documents have to meet:
    WINDOW, the window is a repeat. Segments equal to an earlier one skip the automaton.
 3. The repeated windows return to their documents, where covered words go.
 
-Anchors found in many documents of a sample (HOT_ROWS at most, so the set may be broadcast) are split further: their
-windows travel one by one under their own hash, after duplicates inside a block have been settled on the spot. So a
-passage that a third of all documents share meets in many tasks, with a row a block and window. Hashes only decide
-where texts meet; the verdict comes from the words.
+Frequent anchors are split further: those of a sample (HOT_ROWS at most, so the set may be broadcast) before they are
+shuffled, and all others with more than MANY segments by their exact counts. Their windows travel one by one under their
+own hash, after a task has settled the repeats that it saw itself. So a passage that a third of all documents share meets
+with a few rows a task and window, and a shard holds no text that it has seen before. Hashes only decide where texts
+meet; the verdict comes from the words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ WINDOW, ANCHOR = 20, 8
 #: One document in HOT_EVERY is sampled for hot anchors; an anchor is hot from HOT_LEAST occurrences in the sample, and
 #: the HOT_ROWS most frequent are kept.
 HOT_EVERY, HOT_LEAST, HOT_ROWS = 16, 12, 10_000
+#: Segments that one anchor brings together at most; windows that a task remembers to settle repeats on the spot.
+MANY, HELD = 5000, 50_000
 
 
 def segments(words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,11 +83,28 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.orderBy(F.desc("count"), "anchor").limit(HOT_ROWS).collect()], np.int64).view(np.uint64))
 
 
+class Seen:
+    """The smallest place of windows that a task has met, by their words; forgets all when it is full."""
+
+    def __init__(self):
+        self.places: dict[bytes, tuple[int, int]] = {}
+
+    def repeated(self, body: bytes, here: tuple[int, int]) -> bool | None:
+        """Whether an earlier place is known; None: this very place is."""
+        before = self.places.get(body)
+        if before is not None and before <= here:
+            return None if before == here else True
+        if len(self.places) >= HELD:
+            self.places.clear()
+        self.places[body] = here
+        return False
+
+
 def texts_to_shards(joined: DataFrame, hot: np.ndarray) -> DataFrame:
-    """shard, doc_id, start, body: segments of listed anchors, and windows of hot ones. body null: already known to be
-    a repeat, since the block holds an earlier one."""
+    """shard, doc_id, start, body: segments of listed anchors, and windows of hot ones and of those listed as many. body
+    null: already known to be a repeat, since the task has met an earlier one."""
 
-    def rows(block: Block):
+    def rows(block: Block, seen: Seen):
         words = block.words()
         if not len(words.start):
             return None
@@ -96,47 +116,45 @@ def texts_to_shards(joined: DataFrame, hot: np.ndarray) -> DataFrame:
         place = np.concatenate([[0], np.cumsum(size + 1)])
         listed = block.column("_listed")
         owner = np.repeat(np.arange(len(block)), [len(x) if x.is_valid else 0 for x in listed])
+        single = [np.zeros((0, 2), np.int64)]  # (first window, windows) that go one by one
         if len(owner):
             flat = pa.concat_arrays([listed]).flatten()
-            anchor, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            anchor, start, n, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             at = words.ptr[owner] + start
+            single.append(np.column_stack([at, n])[many])
+            anchor, owner, start, n, at = (x[~many] for x in (anchor, owner, start, n, at))
             for key, d, s, a, b in zip(anchor.tolist(), owner.tolist(), start.tolist(), place[at].tolist(), (place[at + n + WINDOW - 1] - 1).tolist(), strict=True):
                 out[0].append(key)
                 out[1].append(ids[d])
                 out[2].append(s)
                 out[3].append(plain[a:b])
+        keys = block.hashes(words.start, words.end) if len(hot) or len(single[-1]) else None
         if len(hot):
-            keys = block.hashes(words.start, words.end)
             at, n, anchor = segments(words, keys)
             own = np.isin(anchor, hot)
-            at, n = at[own], n[own]
-            if len(at):
-                at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                doc = np.searchsorted(words.ptr, at, "right") - 1
-                named = np.array([i is not None for i in ids])[doc]
-                at, doc = at[named], doc[named]
-                key = mix(windows(keys, WINDOW)[at] + np.uint64(1)).view(np.int64).tolist()
-                start = (at - words.ptr[doc]).tolist()
-                order = sorted(range(len(key)), key=lambda i: (ids[doc[i]], start[i]))
-                seen: dict[bytes, tuple] = {}
-                for i in order:
-                    body, here = plain[place[at[i]] : place[at[i] + WINDOW] - 1], (ids[doc[i]], start[i])
-                    before = seen.setdefault(body, here)
-                    if before is here:
-                        out[0].append(key[i])
-                    elif before == here:
-                        continue
-                    else:
-                        out[0].append(hash(here))
-                        body = None
-                    out[1].append(here[0])
-                    out[2].append(here[1])
-                    out[3].append(body)
+            single.append(np.column_stack([at[own], n[own]]))
+        at, n = np.concatenate(single).T
+        if len(at):
+            at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            doc = np.searchsorted(words.ptr, at, "right") - 1
+            named = np.array([i is not None for i in ids])[doc]
+            at, doc = at[named], doc[named]
+            key = mix(windows(keys, WINDOW)[at] + np.uint64(1)).view(np.int64).tolist()
+            start = (at - words.ptr[doc]).tolist()
+            for i in sorted(range(len(key)), key=lambda i: (ids[doc[i]], start[i])):
+                body, here = plain[place[at[i]] : place[at[i] + WINDOW] - 1], (ids[doc[i]], start[i])
+                known = seen.repeated(body, here)
+                if known is None:
+                    continue
+                out[0].append(hash(here) if known else key[i])
+                out[1].append(here[0])
+                out[2].append(here[1])
+                out[3].append(None if known else body)
         if not out[0]:
             return None
         return {"shard": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "start": pa.array(out[2], pa.int32()), "body": pa.array(out[3], pa.binary())}
 
-    return map_blocks(joined, ["doc_id", "text", "_listed"], rows, "shard long, doc_id long, start int, body binary")
+    return map_blocks(joined, ["doc_id", "text", "_listed"], rows, "shard long, doc_id long, start int, body binary", Seen)
 
 
 class Automaton:
@@ -189,25 +207,29 @@ class Automaton:
         return clone
 
 
-def repeats(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first window, windows) of the repeats in one shard key's segments, ordered by (doc_id, start)."""
-    bodies: dict[bytes, tuple[int, int]] = {}
-    automaton, held = None, None
-    for doc, start, body in group:
-        first = bodies.setdefault(body, (doc, start))
-        if first != (doc, start):
+class Shard:
+    """One shard's segments, as they come in the order of (doc_id, start): distinct ones are held, repeats are told."""
+
+    def __init__(self):
+        self.bodies: set[bytes] = set()
+        self.first, self.automaton, self.last = None, None, None
+
+    def repeats(self, doc: int, start: int, body: bytes) -> Iterator[tuple[int, int, int]]:
+        """(doc_id, first window, windows) of the segment's windows that were seen before; a place counts once."""
+        if self.last == (doc, start):
+            return
+        self.last = doc, start
+        if body in self.bodies:
             yield doc, start, body.count(b" ") + 2 - WINDOW
-            continue
-        if len(bodies) == 1:
-            if held is None:
-                held = body
-            continue
-        if body == held:
-            continue
-        if automaton is None:
-            automaton = Automaton()
-            automaton.stream(held.split(b" "))
-        hit = [e - WINDOW + 1 for e, n in enumerate(automaton.stream(body.split(b" "))) if n >= WINDOW]
+            return
+        self.bodies.add(body)
+        if self.first is None:
+            self.first = body
+            return
+        if self.automaton is None:
+            self.automaton = Automaton()
+            self.automaton.stream(self.first.split(b" "))
+        hit = [e - WINDOW + 1 for e, n in enumerate(self.automaton.stream(body.split(b" "))) if n >= WINDOW]
         while hit:
             n = 1
             while n < len(hit) and hit[n] == hit[0] + n:
@@ -217,29 +239,25 @@ def repeats(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int
 
 
 def shard_repeats(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n: runs of repeated windows. One key's segments are held at a time; Spark sorts (and spills)."""
+    """doc_id, start, n: runs of repeated windows. One key's distinct segments are held at a time; Spark sorts (and spills)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
             cols = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "n"])
 
-        group, key, found, last = [], None, [], None
+        shard, key, found = Shard(), None, []
         for batch in batches:
-            for shard, doc, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, doc, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if body is None:
                     found.append((doc, start, 1))
                     continue
-                if shard != key:
-                    found += repeats(group)
-                    group, key, last = [], shard, None
-                if last != (doc, start):
-                    group.append((doc, start, body))
-                    last = doc, start
+                if own != key:
+                    shard, key = Shard(), own
+                found += shard.repeats(doc, start, body)
             if len(found) > 50_000:
                 yield out(found)
                 found = []
-        found += repeats(group)
         yield out(found)
 
     ship(shards.sparkSession)
@@ -256,7 +274,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     named = own.where("doc_id is not null and text is not null")
     hot = hot_anchors(named)
     cold = anchor_rows(named, hot).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("k > 1")
-    listed = cold.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("anchor", "start", "n")).alias("_listed"))
+    listed = cold.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("anchor", "start", "n", (F.col("k") > MANY).alias("many"))).alias("_listed"))
     joined = own.join(listed, own.doc_id == listed["_id"], "left").drop("_id")
     found = shard_repeats(texts_to_shards(joined, hot))
     gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "n")).alias("_gone"))

@@ -137,9 +137,12 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [False, True, "many"])
 def test_substrings(spark, odd, monkeypatch, hot):
-    if hot:  # the split of frequent anchors, at a size that a test can have
+    if hot == "many":  # the split by exact counts, with little memory of what was seen
+        monkeypatch.setattr(substring_dedup, "MANY", 2)
+        monkeypatch.setattr(substring_dedup, "HELD", 30)
+    elif hot:  # the split of frequent anchors, at a size that a test can have
         monkeypatch.setattr(substring_dedup, "HOT_EVERY", 2)
         monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
     for df in (frame(spark, made_up(1)), frame(spark, made_up(2, vocabulary=3)), odd.where("doc_id is not null")):
