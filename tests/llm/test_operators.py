@@ -471,7 +471,7 @@ def test_toxicity_without_spaces():
     rng = random.Random(12)
     clean = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E3C)) for _ in range(n))
     rows = [(clean(rng.randrange(20, 200)) + ("毒舌惡言罵人" if k % 2 else "") + clean(rng.randrange(20, 200))).encode() for k in range(1500)]
-    net = toxicity_gru.train([(x, k % 2) for k, x in enumerate(toxicity_gru.bare_texts(toxicity_gru.block_of(rows[:1000])))], 0.5)
+    net = toxicity_gru.part_of_training([(x, k % 2) for k, x in enumerate(toxicity_gru.bare_texts(toxicity_gru.block_of(rows[:1000])))], toxicity_gru.FOLDS)
     score = net.scores(toxicity_gru.block_of(rows[1000:]))
     assert (score[1::2, None] > score[None, ::2]).mean() > 0.9
 
