@@ -56,6 +56,11 @@ def subsets(mask: Column) -> Column:
     return F.filter(F.sequence(F.lit(0).cast("long"), mask), lambda x: x.bitwiseAND(F.bitwise_not(mask)) == 0)
 
 
+def as_bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text."""
+    return F.encode(text, "utf-8")
+
+
 # Partition ids: 1 is the root, the children of p are 2p and 2p + 1.
 
 

@@ -293,3 +293,8 @@ def sql_functions(spark, sf_dir):
     _pairs(spark, sf_dir).createOrReplaceTempView("_roadloom_pairs")
     return spark.sql("""SELECT id, round(haversine_km(a, b, c, d), 6) AS km, round(mercator_x(b), 4) AS x, tile_column(b, 14) AS tile, partition_parent(id + 1) AS parent, partition_level(id + 1) AS level,
       prev_power_of_two(id) AS power, zigzag(CASE WHEN id % 2 = 0 THEN id ELSE -id END) AS zig FROM _roadloom_pairs WHERE id > 0""")
+
+
+@query("SELECT p_partkey AS id, hex(encode(p_name)) AS bytes FROM part")
+def text_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.hex(B.as_bytes(F.col("p_name"))).alias("bytes"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.operators import graphs, relational
-from roadloom.plans import batched, frontier, hierarchy, jobs
-from roadloom.queries.graphs import BORDER_SQL, all_pairs_sql
+from roadloom.plans import batched, flow, frontier, hierarchy, jobs
+from roadloom.queries.graphs import BORDER_SQL, CELL_SQL, all_pairs_sql
 from roadloom.queries.registry import registry
 from roadloom.session import saved
 from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, table
@@ -309,6 +309,68 @@ def scans(spark, sf_dir):
     return hierarchy.scans(grid_edges(spark, 8), grid_cells(spark, 8), pairs).drop("inserted", "decreased")
 
 
+_TABLES = f"{CELL_SQL}, t AS (SELECT s.level, s.cell, s.u, s.v, s.w FROM sp s JOIN border b ON b.level = s.level AND b.node = s.v)"
+
+
+@query(f"{_TABLES} SELECT 'row' AS kind, v AS node, w FROM t WHERE level = 1 AND cell = 0 AND u = 3 UNION ALL SELECT 'column', u, w FROM t WHERE level = 1 AND cell = 0 AND v = 24")
+def cell_rows(spark, sf_dir):
+    """One border node's distances to, and another's from, the border of its cell."""
+    t = hierarchy.cell_distances(grid_edges(spark, 8), grid_cells(spark, 8))
+    part = lambda kind, node: hierarchy.cell_rows(t, 1, 0, node, kind == "column").select(F.lit(kind).alias("kind"), "node", "w")
+    return part("row", 3).union(part("column", 24))
+
+
+@query(f"{CELL_SQL} SELECT level::BIGINT AS level, count(DISTINCT cell) AS cells, count(*) AS border_nodes FROM border GROUP BY level")
+def customized_cells(spark, sf_dir):
+    """The cells that have a table, and their border nodes, on each level."""
+    t = hierarchy.cell_distances(grid_edges(spark, 8), grid_cells(spark, 8))
+    return hierarchy.border_places(t).groupBy(F.col("level").cast("long").alias("level")).agg(F.countDistinct("cell").alias("cells"), F.count(F.lit(1)).alias("border_nodes"))
+
+
+@query(f"""WITH {COPURCHASE_SQL}, k AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 9 <> 0), e AS (SELECT src, dst, CASE WHEN src % 50 <> 0 THEN w END AS w FROM copurchase)
+SELECT 'unknown node' AS problem, src, dst FROM e WHERE src NOT IN (FROM k) OR dst NOT IN (FROM k) UNION ALL SELECT 'no weight', src, dst FROM e WHERE w IS NULL""")
+def integrity(spark, sf_dir):
+    """Arcs with unknown ends or without a weight, in a graph with both."""
+    e = copurchase(spark, sf_dir).selectExpr("src", "dst", "CASE WHEN src % 50 <> 0 THEN w END AS w")
+    known = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node").where("node % 9 <> 0")
+    return relational.integrity_violations(e, known)
+
+
+@query(f"""WITH RECURSIVE {COPURCHASE_SQL}, b(node, hops) USING KEY (node) AS (
+  SELECT min(src), 0::BIGINT FROM copurchase UNION SELECT e.dst, min(b.hops + 1)::BIGINT FROM b JOIN copurchase e ON b.node = e.src LEFT JOIN recurring.b r ON r.node = e.dst WHERE r.hops IS NULL GROUP BY e.dst),
+far AS (SELECT max(node) AS node FROM b WHERE hops = (SELECT max(hops) FROM b)),
+path(pos, node) AS (SELECT b.hops, b.node FROM b JOIN far USING (node)
+  UNION ALL SELECT p.pos - 1, (SELECT min(e.src) FROM copurchase e JOIN b y ON y.node = e.src WHERE e.dst = p.node AND y.hops = p.pos - 1) FROM path p WHERE p.pos > 0)
+SELECT pos, node FROM path""")
+def bfs_path(spark, sf_dir):
+    """The way to one of the farthest nodes."""
+    e = saved(copurchase(spark, sf_dir))
+    levels = saved(frontier.bfs_levels(e, e.agg(F.min("src").alias("node"))))
+    far = levels.agg(F.max(F.struct("hops", "node")).alias("x")).first()["x"]["node"]
+    return frontier.path_to(levels, far)
+
+
+@query(f"""WITH RECURSIVE {COPURCHASE_SQL}, goal AS (SELECT max(dst) AS node FROM copurchase), b(node, hops) USING KEY (node) AS (
+  SELECT min(src), 0::BIGINT FROM copurchase UNION SELECT e.dst, min(b.hops + 1)::BIGINT FROM b JOIN copurchase e ON b.node = e.src LEFT JOIN recurring.b r ON r.node = e.dst WHERE r.hops IS NULL GROUP BY e.dst)
+SELECT node, hops FROM b WHERE hops <= (SELECT hops FROM b JOIN goal USING (node))""")
+def bfs_to_target(spark, sf_dir):
+    """Nodes reached up to the level that discovers a target."""
+    e = saved(copurchase(spark, sf_dir))
+    return frontier.bfs_levels(e, e.agg(F.min("src").alias("node")), e.agg(F.max("dst").alias("node"))).select("node", "hops")
+
+
+@query(f"""WITH {grid_sql(4)}, proj AS (SELECT axis, i AS id, CASE axis WHEN 0 THEN i // 4 WHEN 1 THEN i % 4 WHEN 2 THEN i // 4 + i % 4 ELSE i // 4 - i % 4 END AS v FROM range(16) n(i), range(4) a(axis)),
+ranked AS (SELECT axis, id, row_number() OVER (PARTITION BY axis ORDER BY v, id) AS r FROM proj),
+sides AS (SELECT axis, id, mask, r <= 4 OR r <= 12 AND (mask >> greatest(least(r - 5, 7), 0)) & 1 = 1 AS inside FROM ranked, range(256) m(mask)),
+cuts AS (SELECT a.axis, a.mask, count(*) FILTER (a.inside AND NOT b.inside) AS flow FROM grid JOIN sides a ON a.id = src JOIN sides b ON b.id = dst AND b.axis = a.axis AND b.mask = a.mask GROUP BY ALL),
+least AS (SELECT axis, min(flow) AS flow FROM cuts GROUP BY axis), best AS (SELECT axis, flow, bit_and(mask) AS mask FROM cuts JOIN least USING (axis, flow) GROUP BY ALL),
+pick AS (SELECT axis, mask FROM best ORDER BY flow, least(4 + bit_count(mask), 12 - bit_count(mask)) DESC, axis LIMIT 1)
+SELECT id AS node, CASE WHEN inside THEN 2 ELSE 3 END::BIGINT AS partition_id FROM pick JOIN sides USING (axis, mask)""")
+def first_cut(spark, sf_dir):
+    """The best of the four cuts of a small grid, out of all cuts."""
+    return flow.bisection(grid_edges(spark, 4), grid_nodes(spark, 4), 1, least=2)
+
+
 @query()
 def timings(spark, sf_dir):
     """Times of the sampled pairs with both plain engines."""
