@@ -7,6 +7,8 @@ follows the block, never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,8 @@ from roadloom.session import ship
 BLOCK = 1 << 20
 #: Documents in a block at most.
 BLOCK_DOCS = 512
+#: Bytes that are hashed at a time; the tables of powers are this long, for each seed and worker.
+PIECE = 1 << 16
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,17 +43,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """R**i and R**-i modulo 2**64, grown on demand."""
+    """R**i and R**-i modulo 2**64, up to i = PIECE."""
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.size = base | 1, pow(base | 1, -1, 1 << 64), 0
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, BLOCK + 1)
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(self.size - 1, r, np.uint64)])) for r in (self.base, self.inverse))
-        return self.up, self.down
+        self.base = base | 1
+        with np.errstate(over="ignore"):
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, r, np.uint64)])) for r in (self.base, pow(self.base, -1, 1 << 64)))
 
 
 _TABLES: dict[int, tuple[np.ndarray, _Powers]] = {}
@@ -124,21 +123,27 @@ class Block:
         return Words(start, end, np.searchsorted(start, self.offs))
 
     def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the byte ranges (ascending, disjoint), in pieces of about BLOCK bytes."""
+        """64-bit hashes of the byte ranges (ascending, disjoint), in pieces of at most PIECE bytes. They depend on the
+        bytes of a range only, so longer ranges are summed over their pieces."""
         table, powers = _table(seed)
         out = np.empty(len(start), np.uint64)
+        value = lambda piece: table[_LOWER[piece] if lower else piece] * powers.up[: len(piece)]
         at = 0
-        while at < len(start):
-            base = start[at]
-            to = max(at + 1, int(np.searchsorted(end, base + BLOCK, "right")))
-            piece = self.data[base : end[to - 1]]
-            up, down = powers.get(len(piece) + 1)
-            with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"):
+            while at < len(start):
+                base, size = start[at], end[at] - start[at]
+                if size > PIECE:
+                    sums = (int(value(self.data[base + k : min(base + k + PIECE, end[at])]).sum()) * pow(powers.base, k, 1 << 64) for k in range(0, int(size), PIECE))
+                    out[at] = mix(np.array([sum(sums) & (1 << 64) - 1], np.uint64) + np.uint64(size) * _ODD)[0]
+                    at += 1
+                    continue
+                to = int(np.searchsorted(end, base + PIECE, "right"))
+                piece = self.data[base : end[to - 1]]
                 total = np.zeros(len(piece) + 1, np.uint64)
-                np.cumsum(table[_LOWER[piece] if lower else piece] * up[: len(piece)], out=total[1:])
+                np.cumsum(value(piece), out=total[1:])
                 s, e = start[at:to] - base, end[at:to] - base
-                out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _ODD)
-            at = to
+                out[at:to] = mix((total[e] - total[s]) * powers.down[s] + (e - s).astype(np.uint64) * _ODD)
+                at = to
         return out
 
 
@@ -177,6 +182,19 @@ def texts(block: Block) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(block.offs[:-1], block.offs[1:], strict=True)]
 
 
+def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow which gives the worker's free memory back to the system after its task: workers outlive
+    their tasks, and what the allocators keep counts against the executor."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
 def map_blocks(df: DataFrame, columns: list[str], fn: Callable[[Block], pa.RecordBatch | dict | None], schema: str | StructType, setup: Callable[[], object] | None = None, text: str = "text") -> DataFrame:
     """Applies fn to the blocks of the named columns; setup() runs once a task and is passed to fn."""
     ship(df.sparkSession)
@@ -188,4 +206,4 @@ def map_blocks(df: DataFrame, columns: list[str], fn: Callable[[Block], pa.Recor
             if out is not None:
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(trimming(run), schema)

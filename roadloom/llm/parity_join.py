@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.arrowtext import Block, blocks, map_blocks, mix, windows
+from roadloom.llm.arrowtext import Block, blocks, map_blocks, mix, trimming, windows
 from roadloom.plans.components import extended
 from roadloom.session import saved, ship
 
@@ -203,18 +203,24 @@ def packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, nodes binary, runs binary, needs binary")
+    return docs.select("text").mapInArrow(trimming(run), "bucket int, keys binary, nodes binary, runs binary, needs binary")
 
 
-def group_rows(packed: DataFrame) -> DataFrame:
+def by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    """A partition for each bucket, so that a task holds one bucket's keys only, however hashes would have dealt them."""
+    return packed.repartitionById(buckets, "bucket")
+
+
+def group_rows(packed: DataFrame, buckets: int) -> DataFrame:
     """a, b, grp, blk, need: pairs of small groups (grp null), and memberships of large ones (b null): the group's key, the
     pair of blocks to meet in (0 for groups of one block), and how many keys the member shares with any partner."""
 
-    def groups(parts: list[tuple[bytes, bytes, bytes, bytes]], bucket: int) -> pa.RecordBatch:
+    def groups(parts: list[tuple[np.ndarray, ...]], bucket: int) -> pa.RecordBatch:
         key = np.zeros((sum(len(p[0]) for p in parts) // 6, 8), np.uint8)
-        key[:, :6] = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 6)
+        np.concatenate([p[0].reshape(-1, 6) for p in parts], out=key[:, :6])
         key = key.view(np.uint64)[:, 0]
-        node, need = (np.concatenate([np.repeat(np.frombuffer(p[k], kind), np.frombuffer(p[2], np.uint16)) for p in parts]) for k, kind in ((1, np.int64), (3, np.uint16)))
+        node, need = (np.concatenate([np.repeat(p[k].view(kind), p[2].view(np.uint16)) for p in parts]) for k, kind in ((1, np.int64), (3, np.uint16)))
+        parts.clear()
         order = np.argsort(key, kind="stable")
         key = key[order]
         twin = np.zeros(len(key), bool)
@@ -245,25 +251,21 @@ def group_rows(packed: DataFrame) -> DataFrame:
         x, y = np.minimum(own[rep], other), np.maximum(own[rep], other)
         name = mix(key[many] * np.uint64(1_000_003) + np.uint64(bucket)).view(np.int64)
         n, m = len(pairs), len(rep)
+        either = lambda of_pairs, of_many: pa.array(np.concatenate([np.zeros(n, np.int64) if of_pairs is None else of_pairs, np.zeros(m, np.int64) if of_many is None else of_many]), pa.int64(), mask=np.repeat([of_pairs is None, of_many is None], [n, m]))
         return pa.RecordBatch.from_pydict({
-            "a": np.concatenate([pairs[:, 0], node[many][rep]]), "b": pa.array([*pairs[:, 1].tolist(), *[None] * m], pa.int64()),
-            "grp": pa.array([*[None] * n, *name[rep].tolist()], pa.int64()), "blk": pa.array([*[None] * n, *(x * 1_000_000 + y).tolist()], pa.int64()),
-            "need": pa.array([*[None] * n, *need[many][rep].tolist()], pa.int64()),
+            "a": either(pairs[:, 0], node[many][rep]), "b": either(pairs[:, 1], None), "grp": either(None, name[rep]),
+            "blk": either(None, x * 1_000_000 + y), "need": either(None, need[many][rep].astype(np.int64)),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, at = [], None
         for batch in batches:
-            for bucket, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != at and parts:
-                    yield groups(parts, at)
-                    parts = []
-                at = bucket
-                parts.append(tuple(part))
+            at = batch.column(0)[0].as_py() if len(batch) else at
+            parts += [tuple(np.frombuffer(x.as_buffer(), np.uint8) for x in part) for part in zip(*batch.columns[1:], strict=True)]
         if parts:
             yield groups(parts, at)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, grp long, blk long, need long")
+    return by_bucket(packed, buckets).mapInArrow(trimming(run), "a long, b long, grp long, blk long, need long")
 
 
 def near(x: list, y: list) -> np.ndarray:
@@ -343,7 +345,7 @@ def sketch_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     # Groups that lie in one component have nothing to tell; sketches join the rest only.
     mixed = members.groupBy("grp", "blk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp", "blk")
     placed = members.join(mixed, ["grp", "blk"]).join(nodes, "node").repartition("grp", "blk").sortWithinPartitions("grp", "blk")
-    return placed.select("grp", "blk", "node", "n", "sketch", "comp", "chosen").mapInArrow(run, "a long, b long").distinct()
+    return placed.select("grp", "blk", "node", "n", "sketch", "comp", "chosen").mapInArrow(trimming(run), "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -360,7 +362,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(far * (MOST + LEAST) <= (MOST - LEAST) * (n + m))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(trimming(check), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -376,7 +378,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(held).tobytes()]})
 
     filter_bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in spots.coalesce(4).mapInArrow(bits, "bits binary").collect():  # 2 MB each, four at most
+    for r in spots.coalesce(4).mapInArrow(trimming(bits), "bits binary").collect():  # 2 MB each, four at most
         filter_bits |= np.frombuffer(r[0], np.uint8)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +390,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "shingles": pa.array([values[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())})
 
     spotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("spot"))
-    found = spotted.mapInArrow(sets, "doc_id long, shingles binary")
+    found = spotted.mapInArrow(trimming(sets), "doc_id long, shingles binary")
     full = saved(need.join(found, need["_rep"] == found.doc_id).groupBy("node").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -402,7 +404,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(MOST * both >= LEAST * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return saved(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    return saved(both.select("a", "b", "x", "y").mapInArrow(trimming(check), "a long, b long"))
 
 
 def parity_join(docs: DataFrame) -> DataFrame:
@@ -419,7 +421,7 @@ def parity_join(docs: DataFrame) -> DataFrame:
     every = saved(document_nodes(own))
     nodes = saved(every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = saved(group_rows(packed_keys(named, buckets)))
+    groups = saved(group_rows(packed_keys(named, buckets), buckets))
     large = groups.where("b is null").select("grp", "blk", F.col("a").alias("node"), "need")
     # Partners that meet in no small group share all their keys in large ones, so a node needs as many of those.
     able = large.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("node")

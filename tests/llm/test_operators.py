@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from roadloom.llm import bpe_codec, compression_bands, gam_quality, language_id, latent_decontamination, line_dedup, parity_join, queries, substring_dedup, token_counts, toxicity_gru  # noqa: E402
+from roadloom.llm import arrowtext, bpe_codec, compression_bands, gam_quality, language_id, latent_decontamination, line_dedup, parity_join, queries, substring_dedup, token_counts, toxicity_gru  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MULTI, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -290,6 +291,52 @@ def test_parity_join(spark, odd, monkeypatch, small):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_hashes_in_pieces():
+    """The hash of a range depends on its bytes only, short or long, and takes little memory beside the block."""
+    rng = np.random.default_rng(5)
+    size = [3, 1, arrowtext.PIECE - 1, arrowtext.PIECE, 7, arrowtext.PIECE + 1, 2, 3 * arrowtext.PIECE, 1_000_003, 5]
+    data = rng.integers(33, 127, sum(size) + len(size), np.uint8)
+    start = np.cumsum([0, *(n + 1 for n in size[:-1])])
+    tracemalloc.start()
+    got = arrowtext.Block(data, np.array([0, len(data)]), None).hashes(start, start + size, seed=4321)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table, powers = arrowtext._table(4321)
+    for h, a, n in zip(got.tolist(), start.tolist(), size, strict=True):
+        up, total = 1, 0
+        for v in table[data[a : a + n]].tolist() if n < 2 * arrowtext.PIECE else ():
+            total, up = total + v * up, up * powers.base % (1 << 64)
+        alone = arrowtext.Block(data[a : a + n], np.array([0, n]), None).hashes(np.array([0]), np.array([n]), seed=4321)[0]
+        assert h == alone
+        assert n >= 2 * arrowtext.PIECE or h == arrowtext.mix(np.array([(total + n * int(arrowtext._ODD)) % (1 << 64)], np.uint64))[0]
+    assert peak < 4 << 20
+
+
+def test_one_bucket_a_task(docs):
+    """A task of the grouping holds the keys of one bucket, and none is lost."""
+    packed = parity_join.packed_keys(docs, 64)
+    dealt = parity_join.by_bucket(packed, 64).select("bucket", F.spark_partition_id().alias("task"))
+    assert max(Counter(r.task for r in dealt.distinct().collect()).values()) == 1
+    assert dealt.count() == packed.count() >= 64
+
+
+def test_workers_give_memory_back():
+    """What a task has freed in its worker does not stay there: workers live on, and count against their executor."""
+    own = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) >> 10
+    kept = []
+
+    def use(batches):
+        for batch in batches:
+            held = [np.ones(12_000) for _ in range(2000)]  # 192 MB in pieces that the allocator keeps
+            kept.append(np.ones(12_000))
+            held.clear()
+            yield batch
+
+    before = own()
+    assert list(arrowtext.trimming(use)(iter(["batch"]))) == ["batch"]
+    assert own() - before < 60
+
+
 def test_parity_join_of_null_ids(odd):
     assert [r.component_id for r in parity_join.parity_join(odd).where("doc_id is null").collect()] == [None]
 
