@@ -115,11 +115,12 @@ def tile_north(y: Column, zoom: int) -> Column:
 
 
 def in_tile(lat: Column, lon: Column, zoom: int, x: Column, y: Column, tile_size: int = TILE_SIZE) -> tuple[Column, Column]:
-    """Coordinates inside a tile, 0 to tile_size - 1, measured from its west and north edges."""
-    west, east = lon_to_x(tile_west(x, zoom)), lon_to_x(tile_west(x + 1, zoom))
-    north, south = lat_to_y_approx(tile_north(y, zoom)), lat_to_y_approx(tile_north(y + 1, zoom))
+    """Coordinates inside a tile, 0 to tile_size - 1, measured from its west and north edges. Longitudes stay in degrees, as
+    metres would put points that lie on a coordinate just before it; latitudes are projected exactly."""
+    west, east = tile_west(x, zoom), tile_west(x + 1, zoom)
+    north, south = lat_to_y(tile_north(y, zoom)), lat_to_y(tile_north(y + 1, zoom))
     cut = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(tile_size - 1.0)).cast("long")
-    return cut((lon_to_x(lon) - west) * (tile_size - 1.0) / (east - west)), cut((lat_to_y_approx(lat) - north) * (tile_size - 1.0) / (south - north))
+    return cut((lon - west) * (tile_size - 1.0) / (east - west)), cut((lat_to_y(lat) - north) * (tile_size - 1.0) / (south - north))
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
