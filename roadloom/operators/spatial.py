@@ -67,56 +67,85 @@ def window_filter(points: DataFrame, box: tuple[int, int, int, int]) -> DataFram
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, cell: int = CELL) -> DataFrame:
     """query_id, id, distance (km), rank of the k points nearest to each query (query_id, lat, lon). Ties go to the smaller
-    id.
+    id; rows without coordinates meet nothing. Cells start at width `cell` and are halved while they are crowded."""
+    one = F.lit(0).alias("group")
+    return _nearest(points.select(one, "id", "lat", "lon"), queries.select(one, "query_id", "lat", "lon"), k, Haversine, cell)
 
-    Rings of cells around a query find k points; the k-th distance bounds where nearer ones can be. Where the ring does not
-    cover that circle, the cells under the circle are read, once. Queries with fewer than k points in the ring go on with
-    a ring of twice the width. Ranks are cut to k before the rows meet."""
-    across = -(-360_000_000 // cell)
-    km_degree = math.pi / 180 * 6378.137
-    placed = saved(points.select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / cell).alias("ci"), F.pmod(F.floor(F.col("lon") / cell), F.lit(across)).alias("cj")))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    lat, lon = F.col("lat") / 1e6, F.col("lon") / 1e6
 
-    def found(rows: DataFrame, low: Column, high: Column, wide: Column) -> DataFrame:
+def _nearest(points: DataFrame, queries: DataFrame, k: int, metric: type, cell: int) -> DataFrame:
+    """The k points of its group nearest to each query, over cells that hold some 2 k points whatever the table's size.
+
+    The nine cells around a query find k points; the k-th distance bounds where nearer ones can be. Where the cells do not
+    cover that circle, the cells under the circle are read, once. Queries with fewer than k points in nine cells go on with
+    cells of twice the width. Queries at one place are searched once, and of the points at one place only the first k
+    take part. Ranks are cut to k before the rows meet."""
+    sphere = issubclass(metric, Haversine)
+    km_degree = math.pi / 180 * 6378.137
+    there = "lat IS NOT NULL AND lon IS NOT NULL"
+    first = F.row_number().over(Window.partitionBy("group", "lat", "lon").orderBy("id"))
+    held = saved(points.where(there).withColumn("_n", first).where(F.col("_n") <= k).select("group", "id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")))
+    left, done = saved(queries.where(there).select("group", "lat", "lon").distinct()), []
+    order = Window.partitionBy("group", "lat", "lon").orderBy("distance", "id")
+    if sphere:
+        span = 360_000_000
+    else:
+        ends = held.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).union(left.select("lat", "lon")).agg(*(f(c) for c in ("lat", "lon") for f in (F.min, F.max))).first()
+        cell = span = max(int(ends[1] - ends[0]), int(ends[3] - ends[2])) + 1 if ends[0] is not None else 1
+
+    def column(j: Column, width: int) -> Column:
+        return F.pmod(j, F.lit(-(-360_000_000 // width))) if sphere else j
+
+    def placed(width: int) -> DataFrame:
+        return held.withColumn("ci", F.floor(F.col("p_lat") / width)).withColumn("cj", column(F.floor(F.col("p_lon") / width), width))
+
+    def crowd(width: int) -> float:
+        """Points in the cell of a point, on average."""
+        n = F.col("count").cast("double")
+        return placed(width).groupBy("group", "ci", "cj").count().agg(F.sum(n * n) / F.sum(n)).first()[0] or 0.0
+
+    def found(rows: DataFrame, low: Column, high: Column, wide: Column, width: int) -> DataFrame:
         """The k nearest points in cell rows low to high and `wide` cells to either side."""
-        qj = F.floor(F.col("lon") / cell)
-        rows = rows.withColumn("ci", F.explode(F.sequence(low, high)))
-        rows = rows.withColumn("cj", F.explode(F.array_distinct(F.transform(F.sequence(qj - wide, qj + wide), lambda j: F.pmod(j, F.lit(across))))))
-        near = rows.join(placed, ["ci", "cj"]).withColumn("distance", haversine(lat, lon, F.col("p_lat") / 1e6, F.col("p_lon") / 1e6))
-        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    def breadth(reach: Column, degrees: Column) -> Column:
-        """Cells that span so many degrees at the latitude (absolute, in degrees) that a circle reaches."""
-        ratio = F.sin(F.radians(F.least(degrees, F.lit(89.0)))) / F.cos(F.radians(F.least(reach, F.lit(89.0))))
-        cells = F.ceil(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1e6 / cell) + 1
-        return F.when((reach >= 89.0) | (ratio >= 1.0), F.lit(across // 2 + 1)).otherwise(F.least(cells, F.lit(across // 2 + 1))).cast("long")
-
-    left, done, ring = saved(queries.select("query_id", "lat", "lon")), [], 1
+        qj = F.floor(F.col("lon") / width)
+        rows = rows.select("group", "lat", "lon", F.explode(F.sequence(low, high)).alias("ci"), F.array_distinct(F.transform(F.sequence(qj - wide, qj + wide), lambda j: column(j, width))).alias("cj"))
+        near = rows.withColumn("cj", F.explode("cj")).join(placed(width), ["group", "ci", "cj"]).withColumn("distance", metric.distance(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("group", "lat", "lon", "id", "distance")
+
+    def breadth(far: Column, width: int) -> Column:
+        """Cells to either side that a circle spans; on the sphere, of so many degrees at the latitude that it reaches."""
+        if not sphere:
+            return F.ceil(far / width).cast("long")
+        half, reach = F.lit(-(-360_000_000 // width) // 2 + 1), F.abs(F.col("lat") / 1e6) + far
+        ratio = F.sin(F.radians(F.least(far, F.lit(89.0)))) / F.cos(F.radians(F.least(reach, F.lit(89.0))))
+        cells = F.ceil(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1e6 / width) + 1
+        return F.when((reach >= 89.0) | (ratio >= 1.0), half).otherwise(F.least(cells, half)).cast("long")
+
+    unit, most = 1e6 if sphere else 1.0, max(8, 2 * k)
+    width = cell
+    while width > 1 and (now := crowd(width)) > most:
+        width = max(1, width >> math.ceil(math.log(now / most, 4)))
     while True:
-        qi, whole = F.floor(F.col("lat") / cell), 2 * ring + 1 >= across
-        degrees = F.lit(float(ring * cell / 1e6))
-        full = saved(found(left, qi - ring, qi + ring, breadth(F.abs(lat) + degrees, degrees) if not whole else F.lit(across // 2 + 1).cast("long")))
-        stat = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        got = saved(left.join(stat, "query_id", "left").withColumn("sure", F.lit(whole) | (F.col("far") <= ring * cell / 1e6 * km_degree)))
+        qi, whole, side = F.floor(F.col("lat") / width), width >= span, F.lit(width / unit)
+        full = saved(found(left, qi - 1, qi + 1, breadth(side, width), width))
+        far = F.col("far") / (km_degree if sphere else 1.0)
+        stat = full.groupBy("group", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        got = saved(left.join(stat, ["group", "lat", "lon"], "left").withColumn("sure", F.lit(whole) | (far <= side)))
         keep = got.where(F.lit(whole) | (F.col("n") == k))
-        done.append(full.join(keep.where("sure").select("query_id"), "query_id", "left_semi").select("query_id", "id", "distance", "rank"))
-        far = F.col("far") / km_degree
-        wider = keep.where("NOT sure").select("query_id", "lat", "lon", "far")
-        row = lambda v: F.floor(v * 1e6 / cell)
-        done.append(found(wider, row(lat - far), row(lat + far), breadth(F.abs(lat) + far, far)).select("query_id", "id", "distance", "rank"))
-        left = saved(got.where((F.coalesce("n", F.lit(0)) < k) & ~F.lit(whole)).select("query_id", "lat", "lon"))
+        done.append(full.join(keep.where("sure").select("group", "lat", "lon"), ["group", "lat", "lon"], "left_semi"))
+        wider = keep.where("NOT sure").select("group", "lat", "lon", "far")
+        row = lambda v: F.floor(v * unit / width)
+        done.append(found(wider, row(F.col("lat") / unit - far), row(F.col("lat") / unit + far), breadth(far, width), width))
+        left = saved(got.where((F.coalesce("n", F.lit(0)) < k) & ~F.lit(whole)).select("group", "lat", "lon"))
         if whole or left.isEmpty():
-            return reduce(DataFrame.union, done)
-        ring *= 2
+            break
+        width = min(2 * width, span)
+    near = queries.select("group", "query_id", "lat", "lon").join(reduce(DataFrame.union, done), ["group", "lat", "lon"])
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
 def nearest_in(points: DataFrame, queries: DataFrame, k: int, metric: type = Haversine) -> DataFrame:
     """query_id, id, distance, rank by a metric (boxes.Haversine, boxes.Planar) for points (group, id, lat, lon) and queries
-    (group, query_id, lat, lon) of the same group; for groups that are small, or already local."""
-    p = points.select("group", "id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    near = queries.join(p, "group").withColumn("distance", metric.distance(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    (group, query_id, lat, lon) of the same group. Ties go to the smaller id."""
+    return _nearest(points.select("group", "id", "lat", "lon"), queries.select("group", "query_id", "lat", "lon"), k, metric, CELL)
 
 
 def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
