@@ -87,7 +87,8 @@ class Planar:
 
     @staticmethod
     def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-        return F.hypot((lat1 - lat2).cast("double"), (lon1 - lon2).cast("double"))
+        a, b = (lat1 - lat2).cast("double"), (lon1 - lon2).cast("double")
+        return F.sqrt(a * a + b * b)
 
     @staticmethod
     def min_distance(b: Column, lat: Column, lon: Column) -> Column:
