@@ -11,7 +11,7 @@ from roadloom.operators import spatial
 from roadloom.queries.registry import registry
 from roadloom.session import checkpoint_dir, saved
 from roadloom.sources import formats
-from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, table
+from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, parts, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -20,19 +20,19 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
 
 
-def _text(lines: DataFrame, name: str) -> str:
+def _text(lines: DataFrame, name: str, files: int = 4) -> str:
     """Writes rows (k, value) as lines in order of k in one file each range, and returns the folder."""
     at = _folder(lines.sparkSession, name)
-    lines.repartitionByRange(4, "k").sortWithinPartitions("k").select("value").write.text(at)
+    lines.repartitionByRange(files, "k").sortWithinPartitions("k").select("value").write.text(at)
     return at
 
 
 @query(f"WITH {COPURCHASE_SQL} SELECT src, dst, w FROM copurchase")
 def dimacs_graph(spark, sf_dir):
     """Arcs through the DIMACS format; self loops and broken lines between them are dropped."""
-    e = copurchase(spark, sf_dir).selectExpr("src AS k", "concat('a ', src + 1, ' ', dst + 1, ' ', w) AS value")
+    e = saved(copurchase(spark, sf_dir)).selectExpr("src AS k", "concat('a ', src + 1, ' ', dst + 1, ' ', w) AS value")
     odd = spark.sql("SELECT -1L AS k, 'p sp 9 9' AS value UNION ALL SELECT 3L, 'c a comment' UNION ALL SELECT 4L, 'a 5 5 1' UNION ALL SELECT 4L, 'a 5' UNION ALL SELECT 4L, 'a x y 1'")
-    return formats.read_dimacs(spark, _text(e.union(odd), "dimacs"))
+    return formats.read_dimacs(spark, _text(e.union(odd), "dimacs", parts(spark, sf_dir)))
 
 
 @query(f"WITH {GEO_SQL} SELECT id, lat::INT AS lat, lon::INT AS lon FROM geo")
@@ -44,10 +44,9 @@ def dimacs_coordinates(spark, sf_dir):
 SELECT src, dst, w FROM d WHERE way IN (0, 1) UNION ALL SELECT dst, src, w FROM d WHERE way IN (0, 2)""")
 def ddsg_graph(spark, sf_dir):
     """Arcs through the DDSG format: both ways, forward, backward and closed."""
-    lines = copurchase(spark, sf_dir).selectExpr("src AS k", "concat_ws(' ', src, dst, w, (src + dst) % 4) AS value")
-    at = _folder(spark, "ddsg")
-    lines.union(spark.sql("SELECT -2L, 'd' UNION ALL SELECT -1L, '9 9'")).coalesce(1).sortWithinPartitions("k").select("value").write.text(at)
-    return formats.read_ddsg(spark, at)
+    lines = saved(copurchase(spark, sf_dir)).selectExpr("src AS k", "concat_ws(' ', src, dst, w, (src + dst) % 4) AS value")
+    head = spark.sql("SELECT -2L, 'd' UNION ALL SELECT -1L, '9 9'")
+    return formats.read_ddsg(spark, _text(lines.union(head), "ddsg", parts(spark, sf_dir)))
 
 
 @query("SELECT c_custkey AS id, (c_custkey * 7919 % 18000000) / 1e5 AS lon, (c_custkey * 104729 % 8000000) / 1e5 AS lat FROM customer")
@@ -58,15 +57,13 @@ def ddsg_coordinates(spark, sf_dir):
 
 @query(f"WITH {COPURCHASE_SQL} SELECT src, dst, 1::BIGINT AS w FROM copurchase WHERE src >= 0")
 def metis_graph(spark, sf_dir):
-    """Arcs through the METIS format: a line a node in one file, with comments between."""
+    """Arcs through the METIS format: a line a node, with comments between."""
     e = saved(copurchase(spark, sf_dir))
     n = e.agg(F.max(F.greatest("src", "dst")) + 1).first()[0]
     lists = e.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list(F.col("dst") + 1)), " ").alias("value"))
     lines = spark.range(n).join(lists, F.col("id") == F.col("src"), "left").select(F.col("id").alias("k"), F.coalesce("value", F.lit("")).alias("value"))
     lines = lines.union(spark.sql(f"SELECT -1L, '{n} 0' UNION ALL SELECT -2L, '% a comment'"))
-    at = _folder(spark, "metis")
-    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(at)
-    return formats.read_metis(spark, at)
+    return formats.read_metis(spark, _text(lines, "metis", parts(spark, sf_dir)))
 
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, (c_custkey * 7919 % 18000000) / 1e5 AS lon, (c_custkey * 104729 % 8000000) / 1e5 AS lat FROM customer")
@@ -112,12 +109,13 @@ def pairs_csv(spark, sf_dir):
 @query(f"WITH {COPURCHASE_SQL}, {GEO_SQL} SELECT src, dst, w, a.lat::BIGINT AS lat FROM copurchase JOIN geo a ON id = src")
 def ingested(spark, sf_dir):
     """A graph and its coordinates from text into tables, and joined from there."""
-    e = _text(copurchase(spark, sf_dir).selectExpr("src AS k", "concat('a ', src + 1, ' ', dst + 1, ' ', w) AS value"), "dimacs")
-    g = _text(geo(spark, sf_dir).selectExpr("id AS k", "concat('v ', id + 1, ' ', lon, ' ', lat) AS value"), "coordinates")
+    n = parts(spark, sf_dir)
+    e = _text(saved(copurchase(spark, sf_dir)).selectExpr("src AS k", "concat('a ', src + 1, ' ', dst + 1, ' ', w) AS value"), "dimacs", n)
+    g = _text(geo(spark, sf_dir).selectExpr("id AS k", "concat('v ', id + 1, ' ', lon, ' ', lat) AS value"), "coordinates", parts(spark, sf_dir, "customer"))
     out = _folder(spark, "tables")
     formats.ingest(spark, "dimacs", e, g, out)
     nodes = spark.read.parquet(f"{out}/nodes").selectExpr("id AS src", "cast(lat AS bigint) AS lat")
-    return formats.narrowed(formats.read_edges(spark, out)).join(nodes, "src")
+    return formats.narrowed(formats.read_edges(spark, out)).repartition(n, "src").join(nodes, "src")
 
 
 @query(f"WITH {grid_cells_sql(16)} SELECT node, level::BIGINT AS level, cell::BIGINT AS cell FROM cells")

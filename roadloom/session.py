@@ -40,6 +40,12 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and held in the shared folder, where they outlive executors."""
     checkpoint_dir(df.sparkSession)

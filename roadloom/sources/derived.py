@@ -6,13 +6,23 @@ expressions to paste after WITH), so results can be checked against each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Rows of a large table that one task of a shuffle takes.
+PART_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int:
+    """Tasks among which a shuffle of a table's rows goes; grows with the table, so that a task's share does not. Never fewer
+    than the session's, as joins would then move both sides again."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, name).count() // PART_ROWS))
+
+
 def grid_edges(spark: SparkSession, side: int, one_way: bool = False) -> DataFrame:
     """src, dst, w of a side x side grid, weights from the position; one_way: the rows run east only."""
     cells = spark.range(side * side).selectExpr(f"id div {side} AS r", f"id % {side} AS c")
@@ -85,13 +95,13 @@ trade AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, w: consecutive parts of an order, with the smallest quantity."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_roadloom_lineitem")
-    return spark.sql("""
-        SELECT src, dst, min(w) AS w FROM (
-          SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst,
-            cast(l_quantity AS bigint) AS w FROM _roadloom_lineitem)
-        WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst""")
+    """src, dst, w: consecutive parts of an order, with the smallest quantity. The arcs of a source lie in one partition, so
+    that joins on src need not move them once they are saved."""
+    n, order = parts(spark, sf_dir), ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", *order).repartition(n, "l_orderkey")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order))
+    steps = line.select(F.col("l_partkey").alias("src"), after.alias("dst"), F.col("l_quantity").cast("long").alias("w")).where("dst IS NOT NULL AND src <> dst")
+    return steps.repartition(n, "src").groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
 COPURCHASE_SQL = """

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.session import folder_bytes
+
+#: Text whose rows one task of an ingest sorts.
+TASK_BYTES = 16 << 20
+
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"))
@@ -23,8 +28,11 @@ def read_dimacs_coordinates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _header(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).limit(1).collect()
-    return first[0][0].strip() if first else ""
+    """The first line; of a folder, that of the first file by name that is not empty."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        if first := spark.read.text(file).limit(1).collect():
+            return first[0][0].strip()
+    return ""
 
 
 def read_ddsg(spark: SparkSession, path: str, unit_weights: bool = False) -> DataFrame:
@@ -76,10 +84,11 @@ def ingest(spark: SparkSession, kind: str, graph: str, coordinates: str, out: st
     if kind not in GRAPHS:
         raise ValueError(f"unknown format {kind}")
     edges, places = (read(spark, path) for read, path in zip(GRAPHS[kind], (graph, coordinates), strict=True))
-    edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst", "w").write.mode("overwrite").parquet(f"{out}/edges")
+    tasks = lambda at: max(spark.sparkContext.defaultParallelism, -(-folder_bytes(spark, at) // TASK_BYTES))
+    edges.repartitionByRange(tasks(graph), "src", "dst").sortWithinPartitions("src", "dst", "w").write.mode("overwrite").parquet(f"{out}/edges")
     if kind != "dimacs":  # degrees
         places = places.selectExpr("id", "cast(lat * 1e6 AS int) AS lat", "cast(lon * 1e6 AS int) AS lon")
-    places.select("id", "lat", "lon").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{out}/nodes")
+    places.select("id", "lat", "lon").repartitionByRange(tasks(coordinates), "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{out}/nodes")
 
 
 def read_edges(spark: SparkSession, path: str, with_weights: bool = True) -> DataFrame:

@@ -82,3 +82,53 @@ def test_neighbours_over_the_globe(spark):
     check(nearest_in(p, q, 4).collect(), points, queries, 4)
     check(nearest(p.where("group = 0"), q.where("group = 0"), 7).collect(), [r for r in points if r[0] == 0], [r for r in queries if r[0] == 0], 7)
     assert nearest(p.where("id < 2"), q, 5).count() == 2 * len(queries)
+
+
+def test_text_graphs_lie_in_many_files(spark, small, monkeypatch):
+    """No task writes a graph's whole text: DDSG keeps its header and METIS its line numbers over several files."""
+    from roadloom.queries import QUERIES, files
+
+    paths = []
+    for name in ("read_ddsg", "read_metis", "read_dimacs"):
+        monkeypatch.setattr(files.formats, name, lambda spark, path, read=getattr(files.formats, name): paths.append(path) or read(spark, path))
+    for name in ("ddsg_graph", "metis_graph", "dimacs_graph"):
+        assert QUERIES[name](spark, small).count() > 1000
+        assert len(spark.read.text(paths[-1]).inputFiles()) > 4
+
+
+def test_searches_read_the_line_items_once(spark, small):
+    """Rounds join saved arcs, not the tables that the arcs come from."""
+    from roadloom.queries import QUERIES
+
+    for name in ("bfs_levels", "filtered_reach", "sssp_relational", "components", "heavy_components", "integrity"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan, name
+
+
+def test_cyclic_core(spark):
+    """Two cycles, a way between them that no cycle holds but that lies inside the core, and ends that go."""
+    from roadloom.plans.frontier import cyclic_core
+
+    arcs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 1), (7, 6), (5, 8), (8, 9), (10, 10), (11, 12)]
+    left = cyclic_core(spark.createDataFrame(arcs, "src long, dst long"))
+    assert {(r.src, r.dst) for r in left.collect()} == {(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (10, 10)}
+    assert cyclic_core(left.where("src < dst")).isEmpty()
+
+
+def test_components_with_loops_and_single_nodes(spark):
+    from roadloom.plans.frontier import weak_components
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (7, 7), (9, 8)], "src long, dst long")
+    rows = weak_components(edges, spark.createDataFrame([(3,), (20,)], "node long")).collect()
+    assert sorted((r.node, r.component) for r in rows) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8), (20, 20)]
+
+
+def test_integrity_of_odd_arcs(spark):
+    """Loops, doubled arcs and null ends, in parts or not."""
+    from roadloom.operators.relational import integrity_violations
+
+    edges = spark.createDataFrame([(1, 2, 5), (1, 9, 5), (9, 9, 5), (9, 9, 6), (2, 1, None), (None, 1, 1)], "src long, dst long, w long")
+    nodes = spark.createDataFrame([(1,), (2,), (2,)], "node long")
+    want = [("no weight", 2, 1), ("unknown node", 1, 9), ("unknown node", 9, 9), ("unknown node", None, 1)]
+    for parts in (None, 3):
+        assert sorted(map(tuple, integrity_violations(edges, nodes, parts).collect()), key=str) == sorted(want, key=str)
