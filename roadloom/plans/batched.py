@@ -98,11 +98,12 @@ def _integers(values: list) -> pd.array:
     return pd.array(values, "Int64")
 
 
-def one_to_all(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, dist, parent (null at the source) of every node reached from each source (column node)."""
+def one_to_all(edges: DataFrame, sources: DataFrame, parents: bool = True) -> DataFrame:
+    """source, node, dist, parent (null at the source) of every node reached from each source (column node). Without
+    parents, joins leave out the column that they would spend another pass on."""
     graph = local_graph(edges)
     if graph is None:
-        return frontier.all_distances(edges, sources)
+        return frontier.all_distances(edges, sources) if parents else frontier.relaxed(edges, sources)
     held = edges.sparkSession.sparkContext.broadcast(graph)
 
     def run(frames):

@@ -33,10 +33,10 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
 
 def distances(edges: DataFrame, source: int) -> DataFrame:
     """node, dist from one source; edges (src, dst, w) with w >= 0."""
-    return _relaxed(edges, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"))).select("node", "dist")
+    return relaxed(edges, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"))).select("node", "dist")
 
 
-def _relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, dist from each source (column node), by relaxing the arcs of improved nodes, all sources at once."""
     known = saved(sources.select(F.col("node").cast("long").alias("source"), F.col("node").cast("long"), F.lit(0).cast("long").alias("dist")).distinct())
     front, arcs = known, edges.select("src", "dst", "w")
@@ -51,7 +51,7 @@ def _relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def all_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, dist, parent (null at the source) of every node reached from each source (column node). The parent is
     the smallest nearer node on a shortest path; arcs have positive weights."""
-    far = _relaxed(edges, sources)
+    far = relaxed(edges, sources)
     tight = far.select("source", F.col("node").alias("src"), F.col("dist").alias("at")).join(edges.select("src", "dst", "w"), "src").select("source", F.col("dst").alias("node"), "src", (F.col("at") + F.col("w")).alias("dist"))
     parents = tight.join(far, ["source", "node", "dist"]).where("node <> source").groupBy("source", "node").agg(F.min("src").alias("parent"))
     return saved(far.join(parents, ["source", "node"], "left").select("source", "node", "dist", "parent"))
@@ -75,20 +75,23 @@ def joined_paths(far: DataFrame, pairs: DataFrame) -> DataFrame:
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node); nodes: further nodes (node) that may have no edge."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("root", "component")
-    every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
-    every = (every.union(nodes.select("node")) if nodes is not None else every).distinct()
-    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    # All other ends are in what is found.
+    single = edges.where("src = dst OR src IS NULL OR dst IS NULL").select(F.explode(F.array("src", "dst")).alias("node"))
+    single = single if nodes is None else single.union(nodes.select("node"))
+    return found.union(single.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges left when nodes without an incoming (then without an outgoing) edge are removed again and again; empty
-    exactly if the graph has no directed cycle. Self loops are cycles."""
-    left, before = saved(edges.select("src", "dst").distinct()), -1
-    while (n := left.count()) != before and n:
-        before = n
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        left = saved(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    return left
+    """The edges left when nodes without an incoming or without an outgoing edge are removed again and again; empty exactly
+    if the graph has no directed cycle. Self loops are cycles. A round compares ends; edges move only if some have to go."""
+    left = saved(edges.select("src", "dst").distinct())
+    while True:
+        tails, heads = left.select(F.col("src").alias("node")).distinct(), left.select(F.col("dst").alias("node")).distinct()
+        gone = saved(tails.join(heads, "node", "left_anti").withColumn("tail", F.lit(True)).union(heads.join(tails, "node", "left_anti").withColumn("tail", F.lit(False))))
+        if gone.isEmpty():
+            return left
+        left = left.join(gone.where("tail").select(F.col("node").alias("src")), "src", "left_anti")
+        left = saved(left.join(gone.where("NOT tail").select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

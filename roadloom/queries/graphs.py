@@ -40,7 +40,7 @@ def _some(spark, side, step):
   SELECT min(src), 0::BIGINT FROM copurchase UNION SELECT e.dst, min(b.hops + 1)::BIGINT FROM b JOIN copurchase e ON b.node = e.src LEFT JOIN recurring.b r ON r.node = e.dst WHERE r.hops IS NULL GROUP BY e.dst)
 SELECT x.node, x.hops, (SELECT min(e.src) FROM copurchase e JOIN b y ON e.src = y.node WHERE e.dst = x.node AND y.hops = x.hops - 1) AS parent FROM b x""")
 def bfs_levels(spark, sf_dir):
-    e = copurchase(spark, sf_dir)
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return frontier.bfs_levels(e, e.agg(F.min("src").alias("node")))
 
 
@@ -49,21 +49,21 @@ def bfs_levels(spark, sf_dir):
 SELECT node FROM b""")
 def filtered_reach(spark, sf_dir):
     """Nodes reached over arcs that the filter leaves."""
-    e = copurchase(spark, sf_dir)
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return frontier.bfs_levels(e.where("w > 10"), e.agg(F.min("src").alias("node"))).select("node")
 
 
 @query(shortest_sql(COPURCHASE_SQL, "copurchase", "(SELECT min(src) FROM copurchase)", "SELECT node, dist FROM sp"))
 def sssp_copurchase(spark, sf_dir):
     """The flagship: distances from the smallest part, by the batched kernel, or by iterated joins where the arcs don't fit."""
-    e = saved(copurchase(spark, sf_dir))
-    return batched.one_to_all(e, e.agg(F.min("src").alias("node"))).select("node", "dist")
+    e = saved(copurchase(spark, sf_dir), placed=True)
+    return batched.one_to_all(e, e.agg(F.min("src").alias("node")), parents=False).select("node", "dist")
 
 
 @query(shortest_sql(COPURCHASE_SQL, "copurchase", "(SELECT min(src) FROM copurchase)", "SELECT node, dist FROM sp"))
 def sssp_relational(spark, sf_dir):
     """The same distances by iterated joins."""
-    e = copurchase(spark, sf_dir)
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return frontier.distances(e, e.agg(F.min("src")).first()[0])
 
 
@@ -125,27 +125,27 @@ def path_lengths(spark, sf_dir):
 SELECT node, root AS component FROM c""")
 def heavy_components(spark, sf_dir):
     """Components over the arcs of weight 45 or more, an edge filter that leaves many of them."""
-    return frontier.weak_components(copurchase(spark, sf_dir).where("w >= 45"))
+    return frontier.weak_components(saved(copurchase(spark, sf_dir).where("w >= 45")))
 
 
 @query(f"""WITH RECURSIVE {COPURCHASE_SQL}, both_ways AS (SELECT src, dst FROM copurchase UNION SELECT dst, src FROM copurchase), c(node, root) USING KEY (node) AS (
   SELECT src, src FROM both_ways UNION SELECT e.dst, min(c.root) FROM c JOIN both_ways e ON c.node = e.src JOIN recurring.c r ON r.node = e.dst WHERE c.root < r.root GROUP BY e.dst)
 SELECT node, root AS component FROM c""")
 def components(spark, sf_dir):
-    return frontier.weak_components(copurchase(spark, sf_dir))
+    return frontier.weak_components(saved(copurchase(spark, sf_dir), placed=True))
 
 
 @query()
 def scc(spark, sf_dir):
     """Strong components of all arcs."""
-    e = saved(copurchase(spark, sf_dir))
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return frontier.strong_components(e, _nodes(e))
 
 
 @query()
 def cycle_check(spark, sf_dir):
     """Whether there are cycles: over all arcs, and over those that go up, which can have none."""
-    e = saved(copurchase(spark, sf_dir))
+    e = saved(copurchase(spark, sf_dir), placed=True)
     found = lambda arcs, name: frontier.cyclic_core(arcs).agg(F.lit(name).alias("arcs"), (F.count(F.lit(1)) > 0).alias("cyclic"))
     return found(e, "all").union(found(e.where("src < dst"), "upward"))
 

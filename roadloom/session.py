@@ -46,10 +46,18 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and held in the shared folder, where they outlive executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame, placed: bool = False) -> DataFrame:
+    """The rows of df, computed once and held in the shared folder, where they outlive executors. placed: later joins know
+    by which keys the rows are partitioned and leave them there; adaptive plans forget it, so df is planned without."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        if placed:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ship(spark: SparkSession) -> None:
