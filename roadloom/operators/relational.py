@@ -35,10 +35,13 @@ def asymmetric_arcs(edges: DataFrame) -> DataFrame:
     return edges.join(reversed_edges(edges), ["src", "dst", "w"], "left_anti")
 
 
-def integrity_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """problem, src, dst: arcs whose ends are no node, or without a weight."""
-    ends = edges.withColumn("at", F.explode(F.array("src", "dst")))
-    lost = ends.join(nodes.select(F.col("node").alias("at")), "at", "left_anti").select(F.lit("unknown node").alias("problem"), "src", "dst").distinct()
+def integrity_violations(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """problem, src, dst: arcs whose ends are no node, or without a weight. Arcs meet the nodes at one end, then at the
+    other, in so many parts."""
+    spread = (lambda df, c: df.repartition(parts, c)) if parts else (lambda df, c: df)
+    here = lambda c: spread(nodes.select(F.col("node").alias(c)).distinct(), c).withColumn(f"_{c}", F.lit(True))
+    ends = spread(edges.select("src", "dst"), "src").join(here("src"), "src", "left")
+    lost = spread(ends, "dst").join(here("dst"), "dst", "left").where("_src IS NULL OR _dst IS NULL").select(F.lit("unknown node").alias("problem"), "src", "dst").distinct()
     return lost.union(edges.where("w IS NULL").select(F.lit("no weight"), "src", "dst"))
 
 

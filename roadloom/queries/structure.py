@@ -9,7 +9,7 @@ from roadloom.plans import batched, flow, frontier, hierarchy, jobs
 from roadloom.queries.graphs import BORDER_SQL, CELL_SQL, all_pairs_sql
 from roadloom.queries.registry import registry
 from roadloom.session import saved
-from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, table
+from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_nodes, grid_sql, parts, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -32,7 +32,7 @@ def node_count(spark, sf_dir):
 @query(f"WITH {COPURCHASE_SQL} SELECT i::BIGINT AS node, count(src) AS degree FROM range(0, (SELECT max(greatest(src, dst)) + 1 FROM copurchase)) t(i) LEFT JOIN copurchase ON src = i GROUP BY i")
 def node_degrees(spark, sf_dir):
     """Arcs out of every node, those without any too."""
-    e = saved(copurchase(spark, sf_dir))
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return graphs.node_set(e).join(relational.out_degrees(e), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
@@ -331,9 +331,9 @@ def customized_cells(spark, sf_dir):
 SELECT 'unknown node' AS problem, src, dst FROM e WHERE src NOT IN (FROM k) OR dst NOT IN (FROM k) UNION ALL SELECT 'no weight', src, dst FROM e WHERE w IS NULL""")
 def integrity(spark, sf_dir):
     """Arcs with unknown ends or without a weight, in a graph with both."""
-    e = copurchase(spark, sf_dir).selectExpr("src", "dst", "CASE WHEN src % 50 <> 0 THEN w END AS w")
+    e = saved(copurchase(spark, sf_dir), placed=True).selectExpr("src", "dst", "CASE WHEN src % 50 <> 0 THEN w END AS w")
     known = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node").where("node % 9 <> 0")
-    return relational.integrity_violations(e, known)
+    return relational.integrity_violations(e, known, parts(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {COPURCHASE_SQL}, b(node, hops) USING KEY (node) AS (
@@ -344,7 +344,7 @@ path(pos, node) AS (SELECT b.hops, b.node FROM b JOIN far USING (node)
 SELECT pos, node FROM path""")
 def bfs_path(spark, sf_dir):
     """The way to one of the farthest nodes."""
-    e = saved(copurchase(spark, sf_dir))
+    e = saved(copurchase(spark, sf_dir), placed=True)
     levels = saved(frontier.bfs_levels(e, e.agg(F.min("src").alias("node"))))
     far = levels.agg(F.max(F.struct("hops", "node")).alias("x")).first()["x"]["node"]
     return frontier.path_to(levels, far)
@@ -355,7 +355,7 @@ def bfs_path(spark, sf_dir):
 SELECT node, hops FROM b WHERE hops <= (SELECT hops FROM b JOIN goal USING (node))""")
 def bfs_to_target(spark, sf_dir):
     """Nodes reached up to the level that discovers a target."""
-    e = saved(copurchase(spark, sf_dir))
+    e = saved(copurchase(spark, sf_dir), placed=True)
     return frontier.bfs_levels(e, e.agg(F.min("src").alias("node")), e.agg(F.max("dst").alias("node"))).select("node", "hops")
 
 
