@@ -9,7 +9,7 @@ from roadloom.functions import boxes
 from roadloom.operators import coding, relational, sketches, spatial
 from roadloom.queries.registry import registry
 from roadloom.queries.scalars import HAVERSINE
-from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, TRADE_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_sql, table, trade
+from roadloom.sources.derived import COPURCHASE_SQL, GEO_SQL, TRADE_SQL, copurchase, geo, grid_cells, grid_cells_sql, grid_edges, grid_sql, parts, table, trade
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -60,9 +60,14 @@ def global_prefix_sum(spark, sf_dir):
 _PREFIX = "p AS (SELECT l_orderkey AS g, l_linenumber::BIGINT AS i, (sum(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber))::BIGINT AS prefix FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL))"
 
 
+def _quantities(spark, sf_dir, *keys):
+    """g, i, q: summed quantities of the lines of orders, spread by the keys over parts that grow with the table."""
+    q = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("i"), F.col("l_quantity").cast("long").alias("q"))
+    return q.repartition(parts(spark, sf_dir), *keys).groupBy("g", "i").agg(F.sum("q").alias("q"))
+
+
 def _lines(spark, sf_dir):
-    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("i")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
-    return relational.prefix_sums(q, "g", "i", "q")
+    return relational.prefix_sums(_quantities(spark, sf_dir, "g"), "g", "i", "q")
 
 
 @query(f"WITH {_PREFIX} SELECT a.g, a.i, b.i AS j, CASE WHEN a.i >= b.i THEN 0 ELSE b.prefix - a.prefix END AS total FROM p a JOIN p b ON a.g = b.g")
@@ -204,9 +209,9 @@ def count_min(spark, sf_dir):
 @query("WITH d AS (SELECT l_orderkey AS g, l_linenumber::BIGINT AS i, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL), u AS (SELECT g, i, q + CASE WHEN i % 2 = 1 THEN g % 10 ELSE 0 END AS q FROM d) SELECT g, i, (sum(q) OVER (PARTITION BY g ORDER BY i))::BIGINT AS prefix FROM u")
 def prefix_after_update(spark, sf_dir):
     """Prefix sums after point additions."""
-    values = _lines(spark, sf_dir).select("g", "i", "q")
+    values = _quantities(spark, sf_dir, "g", "i")
     changed = relational.updated(values, values.where("i % 2 = 1").selectExpr("g", "i", "g % 10 AS q"), "g", "i", "q")
-    return relational.prefix_sums(changed, "g", "i", "q").select("g", "i", "prefix")
+    return relational.prefix_sums(changed.repartition(parts(spark, sf_dir), "g"), "g", "i", "q").select("g", "i", "prefix")
 
 
 @query(r"""WITH RECURSIVE w AS (SELECT ascii(lang) * 256 + ascii(lang[2:]) AS g, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
