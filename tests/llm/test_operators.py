@@ -120,6 +120,40 @@ def test_perfect_hash():
     assert (h.find(bpe_codec.fingerprints([f"x{i}".encode() for i in range(5000)])) == -1).all()
 
 
+def test_merging_in_step(monkeypatch):
+    """Pre-tokens that are merged many at a time have the ids that a heap each gives, of any length and of any bytes; few
+    are left to a heap of their own."""
+    c = bpe_codec.Codec(MULTI, P.PATTERN)
+    rng = random.Random(4)
+    raw = [*{bytes(rng.choice((b"aeinrst", b"ab", bytes(range(256)))[i % 3]) for _ in range(rng.randrange(1, 70))) for i in range(3000)}, *(b"a" * n for n in range(70)), *(b"tie" * n for n in range(1, 30))]
+    for width in bpe_codec.WIDTHS:
+        some = [d for d in raw if len(d) <= width]
+        ids, n = c.merge_all(some, width)
+        assert [r.tolist() for r in np.split(ids, np.cumsum(n)[:-1])] == [c.merge(d) for d in some]
+    calls, alone = [0], c.merge
+    monkeypatch.setattr(c, "merge", lambda data: calls.__setitem__(0, calls[0] + 1) or alone(data))
+    words = {"".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(6, 30))) for _ in range(5000)}
+    c.encode_all([" ".join(words)])
+    assert calls[0] < 200
+    long = ["x" * 30_000, "ab" * 500 + "c", "日本" * 40]
+    assert [c.encode(t) for t in long] == [alone(t.encode()) for t in long] and calls[0] < 210
+    assert [c.decode(c.encode(t)).decode() for t in (*long, "", "a\n")] == [*long, "", "a\n"]
+
+
+def test_memo_keeps_frequent(monkeypatch):
+    """Frequent pre-tokens aren't resolved again when the memo is full, and ids stay right across generations."""
+    monkeypatch.setattr(bpe_codec, "MEMO", 100)
+    c = bpe_codec.Codec(MULTI, P.PATTERN)
+    asked, find = [0], c.hash.find
+    monkeypatch.setattr(c.hash, "find", lambda prints: asked.__setitem__(0, asked[0] + len(prints)) or find(prints))
+    common = " ".join(f"{a}{b}zq" for a in "abcdef" for b in "ghijklmn")
+    for i in range(12):
+        text = common + "".join(f" {'qx' * (i + 1)}{chr(97 + j)}" for j in range(26))
+        c.encode_all([text, "", common])
+        assert c.encode(text) == [k for piece in c.find(text) for k in c.merge(piece.encode())]
+    assert asked[0] <= 50 + 12 * 26
+
+
 # Substring and line deduplication
 
 
